@@ -52,7 +52,7 @@ def _frame_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for path, content in zip(files["path"], files["content"]):
             rows: list[tuple] = []
             for number, (ns, frame) in enumerate(split_records(bytes(content))):
-                rows.append((path, number, pd.Timestamp(ns, unit="ns", tz="UTC"), ns, frame))
+                rows.append((path, number, pd.Timestamp(ns // 1_000, unit="us", tz="UTC"), ns, frame))
                 if len(rows) == _BATCH:
                     yield _as_pandas(rows)
                     rows = []
@@ -72,6 +72,8 @@ def split_frames(files: DataFrame) -> DataFrame:
 def read_captures(spark: SparkSession, path: str, pattern: str = "*.pcap") -> DataFrame:
     """Frames of all capture files; ``packet_no`` counts from 0 inside each file.
 
+    ``ts`` holds microseconds, as Spark timestamps do; ``ts_ns`` keeps the full time.
+
     Records have no marks to start in the middle of a file, so one task reads one file;
     rotate captures well below the 2 GB a row can hold.
     """
