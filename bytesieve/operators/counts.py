@@ -172,8 +172,14 @@ def estimate_signed(grams: DataFrame, sketch: DataFrame, slots: int, k: int = 5)
     ]
     asked = grams.select("gram").distinct().select("gram", F.inline(F.array(*seeds)))
     probed = lookup_join(asked, sketch, ["seed_no", "slot"])
-    votes = F.coalesce(F.col("_sign") * F.col("cell"), F.lit(0).cast("long"))
-    return probed.groupBy("gram").agg(F.median(votes).alias("estimate"))
+    vote = F.coalesce(F.col("_sign") * F.col("cell"), F.lit(0).cast("long"))
+    # One vote per seed and gram, so a plain maximum picks it.
+    votes = probed.groupBy("gram").agg(
+        *[F.max(F.when(F.col("seed_no") == number, vote)).alias(f"_{number}") for number in range(k)]
+    )
+    ordered = F.array_sort(F.array(*[F.col(f"_{number}") for number in range(k)]))
+    middle = (ordered[(k - 1) // 2] + ordered[k // 2]) / F.lit(2.0)
+    return votes.select("gram", middle.alias("estimate"))
 
 
 def gram_hex(column: Column | str = "gram") -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bytesieve.functions.codec import num_windows, windows
+from bytesieve.functions.sizing import unseen_rate
 from bytesieve.session import materialize
 
 # monotonically_increasing_id() keeps the partition number above this many position bits.
@@ -113,13 +114,22 @@ def stepped_windows(
     ).select(*keep, (F.col("_start") + F.col("i") + 1).alias("step"), "gram")
 
 
-def training_curve(stepped: DataFrame, n: int, every: int = 10_000) -> DataFrame:
+def training_curve(
+    payloads: DataFrame,
+    n: int,
+    order: list[str],
+    *,
+    every: int = 10_000,
+    max_wins: int | None = None,
+) -> DataFrame:
     """Totals after each ``every`` windows: first and second sightings, unseen share.
 
     ``add_tmp_ok`` counts grams seen once or more so far, ``add_ok`` those seen twice or
-    more. Only full intervals give a row, as the log is written at multiples.
+    more, ``unseen_rate`` the percentage of possible grams beyond both. Only full intervals
+    give a row, as the log is written at multiples.
     """
-    spark = stepped.sparkSession
+    spark = payloads.sparkSession
+    stepped = stepped_windows(payloads, n, order, max_wins=max_wins)
     by_gram = Window.partitionBy("gram").orderBy("step")
     # The rank filter is pushed below the shuffle, so a task sends two rows per gram.
     sightings = (
@@ -131,16 +141,17 @@ def training_curve(stepped: DataFrame, n: int, every: int = 10_000) -> DataFrame
         F.count_if(F.col("sighting") == 1).alias("_tmp"),
         F.count_if(F.col("sighting") == 2).alias("_ok"),
     )
-    total = stepped.agg(F.coalesce(F.max("step"), F.lit(0)).alias("total"))
-    full = total.first()["total"] // every
-    buckets = spark.range(full).withColumnRenamed("id", "bucket")
+    wins = num_windows(F.col("payload"), n, max_wins).cast("long")
+    total = payloads.agg(F.coalesce(F.sum(wins), F.lit(0)).alias("total")).first()["total"]
+    buckets = spark.range(total // every).withColumnRenamed("id", "bucket")
     filled = buckets.join(added, "bucket", "left").fillna(0, ["_tmp", "_ok"])
     sums = running_total(filled, {"_tmp": "_tmp_before", "_ok": "_ok_before"}, ["bucket"])
-    return sums.select(
+    curve = sums.select(
         ((F.col("bucket") + 1) * every).alias("ngrams"),
         (F.col("_ok_before") + F.col("_ok")).alias("add_ok"),
         (F.col("_tmp_before") + F.col("_tmp")).alias("add_tmp_ok"),
     )
+    return curve.withColumn("unseen_rate", unseen_rate(n, F.col("add_ok"), F.col("add_tmp_ok")))
 
 
 def saturation_step(keyed: DataFrame, key: str, order: str, threshold: int) -> DataFrame:

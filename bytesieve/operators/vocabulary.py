@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytesieve.functions.codec import num_windows, windows
+from bytesieve.functions.codec import windows
 from bytesieve.operators.counts import count_grams
 from bytesieve.operators.order import global_rank
 from bytesieve.session import BROADCAST_ROWS, fits, lookup_join, materialize
@@ -27,8 +27,15 @@ def known_in(grams: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def without_known(counts: DataFrame, *skip: DataFrame) -> DataFrame:
-    """Counted grams that no skipped vocabulary holds."""
-    return counts.join(union_grams(*skip), "gram", "left_anti") if skip else counts
+    """Counted grams that no skipped vocabulary holds.
+
+    Written as an outer join: an anti join would be pushed below the counting and then ask
+    once per window instead of once per gram.
+    """
+    if not skip:
+        return counts
+    known = union_grams(*skip).withColumn("_known", F.lit(True))
+    return counts.join(known, "gram", "left").where(F.col("_known").isNull()).drop("_known")
 
 
 def screen(
@@ -42,32 +49,26 @@ def screen(
 
     All windows count, repeats included. ``bad`` must be a stored table of distinct grams.
     A bad vocabulary of checked size is broadcast and no window leaves its task; a larger
-    one meets windows that were counted per payload first.
+    one meets windows that were counted per payload first, dealt over salts so that a gram
+    common to most payloads is no hot key.
     """
-    totals = payloads.select(id_col, num_windows(F.col("payload"), n).cast("long").alias("num_wins"))
     grams = windows(payloads, n, keep=(id_col,)).select(id_col, "gram")
-    vocab = bad.select("gram")
+    vocab = bad.select("gram", F.lit(True).alias("_bad"))
     if fits(vocab, max_rows):
-        hits = (
-            grams.join(F.broadcast(vocab), "gram", "left_semi")
-            .groupBy(id_col)
-            .agg(F.count("*").alias("hits"))
+        marked = grams.join(F.broadcast(vocab), "gram", "left")
+        verdicts = marked.groupBy(id_col).agg(
+            F.count("*").alias("num_wins"), F.count("_bad").alias("hits")
         )
     else:
         per_payload = grams.groupBy(id_col, "gram").agg(F.count("*").alias("_wins"))
-        hits = (
-            lookup_join(
-                per_payload, vocab, ["gram"], "left_semi", spread_by=F.col(id_col), max_rows=max_rows
-            )
-            .groupBy(id_col)
-            .agg(F.sum("_wins").alias("hits"))
+        marked = lookup_join(
+            per_payload, vocab, ["gram"], "left", spread_by=F.col(id_col), max_rows=max_rows
         )
-    return (
-        totals.where(F.col("num_wins") > 0)
-        .join(hits, id_col, "left")
-        .select(id_col, "num_wins", F.coalesce("hits", F.lit(0).cast("long")).alias("hits"))
-        .withColumn("denied", F.col("hits") > F.expr(f"num_wins div {DENY_ONE_IN}"))
-    )
+        verdicts = marked.groupBy(id_col).agg(
+            F.sum("_wins").alias("num_wins"),
+            F.sum(F.when(F.col("_bad"), F.col("_wins")).otherwise(F.lit(0).cast("long"))).alias("hits"),
+        )
+    return verdicts.withColumn("denied", F.col("hits") > F.expr(f"num_wins div {DENY_ONE_IN}"))
 
 
 def accepted_payloads(

@@ -40,10 +40,6 @@ def _stepped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order.stepped_windows(payloads(spark, sf_dir), N, ["doc_id"])
 
 
-def _stored_stepped_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vocabulary.first_steps(_stepped(spark, sf_dir))
-
-
 STEPPED = f"""{WINS}, starts AS (
   SELECT doc_id, coalesce(sum(w) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
   FROM (SELECT doc_id, count(*) AS w FROM wins GROUP BY doc_id)),
@@ -556,7 +552,7 @@ def bloom_audit(spark, sf_dir):
 @query()
 def bloom_false_positives(spark, sf_dir):
     """New grams that the filling filter refused, beside the forecast."""
-    first = materialize(_stored_stepped_counts(spark, sf_dir), "first-steps")
+    first = materialize(vocabulary.first_steps(_stepped(spark, sf_dir)), "first-steps")
     bits = 1_000_003
     refused = bloom.first_colliding(first, HASHES, bits).agg(F.count("*").alias("add_no"))
     total = first.agg(F.count("*").alias("distinct_grams"))
@@ -585,15 +581,18 @@ def filter_generations(spark, sf_dir):
     f"""{STEPPED}, ranked AS (SELECT gram_hex, step, row_number() OVER (PARTITION BY gram_hex ORDER BY step) AS sighting FROM stepped),
     added AS (SELECT (step - 1) // 10000 AS bucket, count(*) FILTER (sighting = 1) AS tmp, count(*) FILTER (sighting = 2) AS ok
               FROM ranked WHERE sighting <= 2 GROUP BY 1),
-    buckets AS (SELECT unnest(range((SELECT max(step) FROM stepped) // 10000)) AS bucket)
-    SELECT (b.bucket + 1) * 10000 AS ngrams,
+    buckets AS (SELECT unnest(range((SELECT max(step) FROM stepped) // 10000)) AS bucket),
+    curve AS (SELECT (b.bucket + 1) * 10000 AS ngrams,
       CAST(sum(coalesce(a.ok, 0)) OVER (ORDER BY b.bucket) AS BIGINT) AS add_ok,
       CAST(sum(coalesce(a.tmp, 0)) OVER (ORDER BY b.bucket) AS BIGINT) AS add_tmp_ok
-    FROM buckets b LEFT JOIN added a ON a.bucket = b.bucket"""
+    FROM buckets b LEFT JOIN added a ON a.bucket = b.bucket)
+    SELECT *, round((1099511627776.0::DOUBLE - add_ok::DOUBLE - add_tmp_ok::DOUBLE)
+      / 1099511627776.0::DOUBLE * 100.0::DOUBLE, 9) AS unseen_rate FROM curve"""
 )
 def training_curve(spark, sf_dir):
     """Totals of first and second sightings after each 10,000 windows."""
-    return order.training_curve(_stepped(spark, sf_dir), N)
+    curve = order.training_curve(payloads(spark, sf_dir), N, ["doc_id"])
+    return curve.withColumn("unseen_rate", F.round("unseen_rate", 9))
 
 
 @query(
