@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from bytesieve.functions.hashing import slots_of
 from bytesieve.functions.sizing import false_adds, filter_bits, zero_bit_share
-from bytesieve.session import lookup_join
+from bytesieve.session import lookup_join, materialize
 
 # Bitmaps of 4 KiB that may be broadcast together: 32 MiB.
 BROADCAST_BITMAPS = 8_192
+# Size of the one-hash filter that goes before a shuffled join: up to 2**30 bits, 128 MiB.
+POSSIBLE_BITS_PER_GRAM = 16
+POSSIBLE_MAX_BITS = 1 << 30
 
 
 def bits_for(capacity: int, k: int) -> int:
@@ -64,6 +67,34 @@ def _bit_is_set(bitmap: Column, bit: Column) -> Column:
     return F.getbit(byte, (bit % 8).cast("int"))
 
 
+def keep_possible(df: DataFrame, members: DataFrame, column: str = "gram") -> DataFrame:
+    """Rows whose ``column`` may be in ``members``; rows surely outside are gone.
+
+    A one-hash filter of ``members`` is broadcast (at most 128 MiB, whatever the number of
+    members) and asked in place, so that a join with a large table afterwards shuffles only
+    the rows that can match. ``members`` is a stored table with a ``gram`` column.
+    """
+    bits = min(max(members.count() * POSSIBLE_BITS_PER_GRAM, 1), POSSIBLE_MAX_BITS)
+    bitmaps = materialize(build_bloom(members, 1, bits), "possible")
+    # The bytes of a bitmap as 512 signed words, so that asking for a bit is plain arithmetic.
+    words = F.transform(
+        F.sequence(F.lit(1), F.lit(4_089), F.lit(8)),
+        lambda at: F.conv(F.hex(F.substring("bitmap", at, F.lit(8))), 16, -10).cast("long"),
+    )
+    table = bitmaps.select("bucket", words.alias("_words"))
+    bit = F.col("_bit")
+    word = F.element_at("_words", (F.shiftright(bit, 6) + 1).cast("int"))
+    shift = (7 - F.shiftright(bit, 3) % 8) * 8 + bit % 8
+    at = slots_of(F.col(column), 1, bits)[0]
+    placed = df.withColumn("_at", at + 1).withColumn("bucket", F.bitmap_bucket_number("_at"))
+    return (
+        placed.withColumn("_bit", F.bitmap_bit_position("_at"))
+        .join(F.broadcast(table), "bucket")
+        .where(F.getbit(word, shift.cast("int")) == 1)
+        .select(*df.columns)
+    )
+
+
 def probe_bloom(
     grams: DataFrame, bitmaps: DataFrame, k: int, bits: int, by: tuple[str, ...] = ()
 ) -> DataFrame:

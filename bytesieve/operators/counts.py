@@ -57,7 +57,7 @@ def merge_counts(
 
 
 def lookup_counts(grams: DataFrame, counts: DataFrame) -> DataFrame:
-    """Count of each asked gram, 0 where the table has none."""
+    """Count of each asked gram, 0 where the table has none; ask each gram once."""
     found = lookup_join(grams, counts.select("gram", "cnt"), ["gram"])
     return found.withColumn("cnt", F.coalesce("cnt", F.lit(0).cast("long")))
 

@@ -116,8 +116,12 @@ def empty_flows(packets: DataFrame) -> DataFrame:
 
 
 def first_messages(buffers: DataFrame) -> DataFrame:
-    """Head of the first HTTP message of each flow buffer."""
-    return message_heads(buffers.where(F.col("chunk_no") == 0), "buffer", tuple(FLOW))
+    """Head of the first HTTP message of each flow.
+
+    Looks at the first chunk, so ``complete`` is left out: a body may run into later ones.
+    """
+    heads = message_heads(buffers.where(F.col("chunk_no") == 0), "buffer", tuple(FLOW))
+    return heads.drop("complete")
 
 
 def udp_rows(packets: DataFrame) -> DataFrame:

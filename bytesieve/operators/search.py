@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bytesieve.functions.codec import windows
-from bytesieve.session import BROADCAST_ROWS, lookup_join
+from bytesieve.operators.bloom import keep_possible
+from bytesieve.session import BROADCAST_ROWS, lookup_join, materialize
 
 # Bytes of a pattern that must match before the whole pattern is hashed.
 PREFIX_BYTES = 16
@@ -75,10 +76,16 @@ def find_passages(
                 .join(F.broadcast(prefixes), "_prefix")
             )
         else:
-            # Too many prefixes to broadcast: positions travel alone and fetch the text after.
-            places = (
-                windows(sources, width, keep=(doc_id,))
-                .select(doc_id, "i", F.xxhash64("gram").alias("_prefix"))
+            # Too many prefixes to broadcast: a filter drops the positions where none can
+            # start, the others travel without the text and fetch it after the match.
+            starts = materialize(
+                needles.where(F.col("_width") == width)
+                .select(F.expr("substring(_needle, 1, _width)").alias("gram"))
+                .distinct(),
+                "prefixes",
+            )
+            places = keep_possible(windows(sources, width, keep=(doc_id,)), starts).select(
+                doc_id, "i", F.xxhash64("gram").alias("_prefix")
             )
             places = lookup_join(
                 places, prefixes, ["_prefix"], "inner", spread_by=F.xxhash64(doc_id, "i"), max_rows=max_rows

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytesieve.functions.codec import windows
+from bytesieve.functions.codec import num_windows, windows
+from bytesieve.operators.bloom import keep_possible
 from bytesieve.operators.counts import count_grams
 from bytesieve.operators.order import global_rank
 from bytesieve.session import BROADCAST_ROWS, fits, lookup_join, materialize
@@ -22,7 +23,7 @@ def union_grams(*tables: DataFrame) -> DataFrame:
 
 
 def known_in(grams: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Grams that any generation of the vocabulary holds."""
+    """Rows of ``grams``, one per gram, that any generation of the vocabulary holds."""
     return lookup_join(grams, vocab.select("gram").distinct(), ["gram"], "left_semi")
 
 
@@ -48,26 +49,31 @@ def screen(
     """Deny rule per payload: ``num_wins``, ``hits`` in the bad vocabulary, ``denied``.
 
     All windows count, repeats included. ``bad`` must be a stored table of distinct grams.
-    A bad vocabulary of checked size is broadcast and no window leaves its task; a larger
-    one meets windows that were counted per payload first, dealt over salts so that a gram
-    common to most payloads is no hot key.
+    A bad vocabulary of checked size is broadcast and no window leaves its task. For a larger
+    one a filter drops the windows that cannot hit; the rest is counted per payload and joined
+    over salts, so that a gram common to most payloads is no hot key.
     """
     grams = windows(payloads, n, keep=(id_col,)).select(id_col, "gram")
-    vocab = bad.select("gram", F.lit(True).alias("_bad"))
+    vocab = bad.select("gram")
     if fits(vocab, max_rows):
-        marked = grams.join(F.broadcast(vocab), "gram", "left")
+        marked = grams.join(F.broadcast(vocab.withColumn("_bad", F.lit(True))), "gram", "left")
         verdicts = marked.groupBy(id_col).agg(
             F.count("*").alias("num_wins"), F.count("_bad").alias("hits")
         )
     else:
-        per_payload = grams.groupBy(id_col, "gram").agg(F.count("*").alias("_wins"))
-        marked = lookup_join(
-            per_payload, vocab, ["gram"], "left", spread_by=F.col(id_col), max_rows=max_rows
+        per_payload = keep_possible(grams, vocab).groupBy(id_col, "gram").agg(
+            F.count("*").alias("_wins")
         )
-        verdicts = marked.groupBy(id_col).agg(
-            F.sum("_wins").alias("num_wins"),
-            F.sum(F.when(F.col("_bad"), F.col("_wins")).otherwise(F.lit(0).cast("long"))).alias("hits"),
+        hits = (
+            lookup_join(
+                per_payload, vocab, ["gram"], "left_semi", spread_by=F.col(id_col), max_rows=max_rows
+            )
+            .groupBy(id_col)
+            .agg(F.sum("_wins").alias("hits"))
         )
+        wins = num_windows(F.col("payload"), n).cast("long")
+        totals = payloads.select(id_col, wins.alias("num_wins")).where(F.col("num_wins") > 0)
+        verdicts = totals.join(hits, id_col, "left").fillna(0, ["hits"])
     return verdicts.withColumn("denied", F.col("hits") > F.expr(f"num_wins div {DENY_ONE_IN}"))
 
 

@@ -72,3 +72,12 @@ def test_meta(spark, random_grams):
     assert row["num_bits"] == bloom.bits_for(10_000, 8) == int(10_000 * 8 / 0.6931471805599453)
     assert row["n_added"] == row["add_ok"] + row["add_no"] == 3000
     assert row["error_rate"] == 1 / 256
+
+
+@pytest.mark.parametrize("count", [1, 40, 2500])
+def test_possible_rows_keep_all_members(spark, random_grams, count):
+    members = random_grams[:count]
+    table = gram_table(spark, random_grams)
+    kept = {bytes(r["gram"]) for r in bloom.keep_possible(table, gram_table(spark, members)).collect()}
+    assert set(members) <= kept
+    assert len(kept) - count <= max(20, 0.12 * (len(random_grams) - count))
