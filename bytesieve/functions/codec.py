@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # Characters stripped around a payload line: the ASCII white space.
 _BLANKS = " \t\n\r\x0b\x0c"
 # Bytes of a payload that are windowed as one slice; bounds the offset array of a row.
-_SLICE = 1 << 20
+SLICE = 1 << 20
 
 
 def hex_decode(text: Column, *, inner_space: bool = False) -> Column:
@@ -49,6 +49,36 @@ def num_windows(payload: Column, n: int, max_wins: int | None = None) -> Column:
     return F.least(count, F.lit(max_wins)) if max_wins else count
 
 
+def slices(
+    df: DataFrame,
+    n: int,
+    *,
+    payload: str = "payload",
+    keep: tuple[str, ...] = (),
+    max_wins: int | None = None,
+    slice_bytes: int = SLICE,
+) -> DataFrame:
+    """Overlapping parts of each payload of at least n bytes: ``keep``, from, count, slice.
+
+    A part starts at window ``_from`` and holds ``_count`` whole windows, ``slice_bytes`` at
+    most, so that the offset array of a row stays small whatever the payload size.
+    """
+    data = F.col(payload)
+    wins = num_windows(data, n, max_wins)
+    starts = df.where(F.length(data) >= n).select(
+        *keep,
+        data.alias("_data"),
+        wins.alias("_wins"),
+        F.explode(F.sequence(F.lit(0), wins - 1, F.lit(slice_bytes))).alias("_from"),
+    )
+    return starts.select(
+        *keep,
+        "_from",
+        F.least(F.col("_wins") - F.col("_from"), F.lit(slice_bytes)).alias("_count"),
+        F.substring("_data", F.col("_from") + 1, F.lit(slice_bytes + n - 1)).alias("_slice"),
+    )
+
+
 def windows(
     df: DataFrame,
     n: int,
@@ -57,32 +87,17 @@ def windows(
     keep: tuple[str, ...] = (),
     max_wins: int | None = None,
     out: str = "gram",
-    slice_bytes: int = _SLICE,
+    slice_bytes: int = SLICE,
 ) -> DataFrame:
     """One row per n-byte window at step 1: ``keep``, 0-based offset ``i``, the window.
 
     ``max_wins`` keeps only that many windows from the start of each payload; the default
-    takes all. A long payload is cut into overlapping slices first, so that the offset
-    array of a row stays small whatever the payload size.
+    takes all.
     """
-    data = F.col(payload)
-    wins = num_windows(data, n, max_wins)
-    slices = (
-        df.where(F.length(data) >= n)
-        .select(
-            *keep,
-            data.alias("_data"),
-            wins.alias("_wins"),
-            F.explode(F.sequence(F.lit(0), wins - 1, F.lit(slice_bytes))).alias("_from"),
-        )
-        .select(
-            *keep,
-            "_from",
-            F.least(F.col("_wins") - F.col("_from"), F.lit(slice_bytes)).alias("_count"),
-            F.substring("_data", F.col("_from") + 1, F.lit(slice_bytes + n - 1)).alias("_slice"),
-        )
+    parts = slices(
+        df, n, payload=payload, keep=keep, max_wins=max_wins, slice_bytes=slice_bytes
     )
-    return slices.select(
+    return parts.select(
         *keep,
         "_from",
         "_slice",

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bytesieve.functions.codec import num_windows, windows
+from bytesieve.functions.codec import SLICE, num_windows, slices, windows
 from bytesieve.functions.sizing import unseen_rate
 from bytesieve.session import materialize
 
@@ -96,6 +96,16 @@ def running_total(
     )
 
 
+def _with_start(
+    payloads: DataFrame, n: int, order: list[str], max_wins: int | None
+) -> DataFrame:
+    """Payloads of at least one window with ``_start``, the windows of all payloads before."""
+    counts = payloads.select(
+        *order, num_windows(F.col("payload"), n, max_wins).cast("long").alias("_wins")
+    ).where(F.col("_wins") > 0)
+    return payloads.join(running_total(counts, {"_wins": "_start"}, order).drop("_wins"), order)
+
+
 def stepped_windows(
     payloads: DataFrame,
     n: int,
@@ -105,13 +115,62 @@ def stepped_windows(
     max_wins: int | None = None,
 ) -> DataFrame:
     """Windows of all payloads numbered 1, 2, ... through the whole table (``step``)."""
-    counts = payloads.select(
-        *order, num_windows(F.col("payload"), n, max_wins).cast("long").alias("_wins")
-    ).where(F.col("_wins") > 0)
-    starts = running_total(counts, {"_wins": "_start"}, order).drop("_wins")
-    return windows(
-        payloads.join(starts, order), n, keep=(*keep, "_start"), max_wins=max_wins
-    ).select(*keep, (F.col("_start") + F.col("i") + 1).alias("step"), "gram")
+    placed = _with_start(payloads, n, order, max_wins)
+    return windows(placed, n, keep=(*keep, "_start"), max_wins=max_wins).select(
+        *keep, (F.col("_start") + F.col("i") + 1).alias("step"), "gram"
+    )
+
+
+def sighting_steps(
+    payloads: DataFrame,
+    n: int,
+    order: list[str],
+    *,
+    max_wins: int | None = None,
+    slice_bytes: int = SLICE,
+) -> DataFrame:
+    """Step of the first and of the second sighting of each gram: ``sighting``, ``step``.
+
+    First sightings are minima. They go back to their payloads as offsets to leave out, and the
+    minima of the remaining windows are the second sightings, so that both passes combine in
+    the map tasks and no window is sorted or shuffled by itself.
+    """
+    placed = _with_start(payloads, n, order, max_wins).select("_start", "payload")
+    step = F.col("_start") + F.col("i") + 1
+    first = materialize(
+        windows(placed, n, keep=("_start",), max_wins=max_wins)
+        .select("gram", "_start", step.alias("step"))
+        .groupBy("gram")
+        .agg(F.min("step").alias("step"), F.min_by("_start", "step").alias("_start"))
+        .select("_start", "step"),
+        "first-sightings",
+    )
+    offset = (F.col("step") - F.col("_start") - 1).cast("int")
+    seen = (
+        first.select("_start", offset.alias("_offset"))
+        .select("_start", (F.col("_offset") % slice_bytes).alias("_at"), (F.col("_offset") - F.col("_offset") % slice_bytes).alias("_from"))
+        .groupBy("_start", "_from")
+        .agg(F.collect_list("_at").alias("_seen"))
+    )
+    parts = slices(placed, n, keep=("_start",), max_wins=max_wins, slice_bytes=slice_bytes)
+    every = F.sequence(F.lit(0), F.col("_count") - 1)
+    rest = parts.join(seen, ["_start", "_from"], "left").select(
+        "_start",
+        "_from",
+        "_slice",
+        F.explode(F.when(F.col("_seen").isNull(), every).otherwise(F.array_except(every, "_seen"))).alias("_at"),
+    )
+    second = (
+        rest.select(
+            F.substring("_slice", F.col("_at") + 1, F.lit(n)).alias("gram"),
+            (F.col("_start") + F.col("_from") + F.col("_at") + 1).alias("step"),
+        )
+        .groupBy("gram")
+        .agg(F.min("step").alias("step"))
+    )
+    return first.select(F.lit(1).alias("sighting"), "step").unionByName(
+        second.select(F.lit(2).alias("sighting"), "step")
+    )
 
 
 def training_curve(
@@ -129,14 +188,7 @@ def training_curve(
     give a row, as the log is written at multiples.
     """
     spark = payloads.sparkSession
-    stepped = stepped_windows(payloads, n, order, max_wins=max_wins)
-    by_gram = Window.partitionBy("gram").orderBy("step")
-    # The rank filter is pushed below the shuffle, so a task sends two rows per gram.
-    sightings = (
-        stepped.select("gram", "step")
-        .withColumn("sighting", F.row_number().over(by_gram))
-        .where(F.col("sighting") <= 2)
-    )
+    sightings = sighting_steps(payloads, n, order, max_wins=max_wins)
     added = sightings.groupBy(F.floor((F.col("step") - 1) / every).alias("bucket")).agg(
         F.count_if(F.col("sighting") == 1).alias("_tmp"),
         F.count_if(F.col("sighting") == 2).alias("_ok"),

@@ -108,18 +108,30 @@ def train_normal(
     return train_vocabulary(accepted, n, skip=skip, max_wins=max_wins)
 
 
+def train_bad_beside_gold(
+    payloads: DataFrame, n: int = 5, *, max_wins: int | None = None
+) -> DataFrame:
+    """Bad tier without the grams of the gold payloads in the same table.
+
+    Both tiers are counted in one pass and one shuffle; with a gold vocabulary from an earlier
+    run use ``train_vocabulary`` and its ``skip``.
+    """
+    both = payloads.where(F.col("tier").isin("gold", "bad"))
+    sides = windows(both, n, keep=("tier",), max_wins=max_wins).groupBy("gram").agg(
+        F.count_if(F.col("tier") == "bad").alias("cnt"),
+        F.count_if(F.col("tier") == "gold").alias("_gold"),
+    )
+    return sides.where((F.col("cnt") > 0) & (F.col("_gold") == 0)).drop("_gold")
+
+
 def train_tiers(
     payloads: DataFrame, n: int = 5, *, max_wins: int | None = None, id_col: str = "doc_id"
 ) -> dict[str, DataFrame]:
     """Gold, bad (without gold) and normal (screened, without bad) gram counts."""
-    def tier(name: str) -> DataFrame:
-        return payloads.where(F.col("tier") == name)
-
-    gold = train_vocabulary(tier("gold"), n, max_wins=max_wins)
-    bad = materialize(
-        train_vocabulary(tier("bad"), n, skip=(gold,), max_wins=max_wins), "bad-vocabulary"
-    )
-    normal = train_normal(tier("normal"), bad, n, max_wins=max_wins, id_col=id_col)
+    gold = train_vocabulary(payloads.where(F.col("tier") == "gold"), n, max_wins=max_wins)
+    bad = materialize(train_bad_beside_gold(payloads, n, max_wins=max_wins), "bad-vocabulary")
+    normal_payloads = payloads.where(F.col("tier") == "normal")
+    normal = train_normal(normal_payloads, bad, n, max_wins=max_wins, id_col=id_col)
     return {"gold": gold, "bad": bad, "normal": normal}
 
 

@@ -142,7 +142,7 @@ def polynomial_hash(spark, sf_dir):
 
 @query(
     """WITH found AS (SELECT doc_id, text, strpos(text, 'tion ') AS place FROM documents)
-    SELECT doc_id, CASE WHEN place = 0 THEN -1 ELSE octet_length(encode(substr(text, 1, place - 1))) END AS position,
+    SELECT doc_id, CASE WHEN place = 0 THEN -1 ELSE octet_length(encode(substr(text, 1, place - 1)))::INTEGER END AS position,
       -1 AS empty_position FROM found"""
 )
 def needle_position(spark, sf_dir):
@@ -263,10 +263,7 @@ def frequent_grams(spark, sf_dir):
 def screen_verdicts(spark, sf_dir):
     """Hits in the bad vocabulary and verdict of each normal payload."""
     every = payloads(spark, sf_dir)
-    gold = vocabulary.train_vocabulary(every.where(F.col("tier") == "gold"), N)
-    bad = materialize(
-        vocabulary.train_vocabulary(every.where(F.col("tier") == "bad"), N, skip=(gold,)), "bad-vocabulary"
-    )
+    bad = materialize(vocabulary.train_bad_beside_gold(every, N), "bad-vocabulary")
     return vocabulary.screen(every.where(F.col("tier") == "normal"), bad, N)
 
 
@@ -457,10 +454,7 @@ def second_sighting_vocabulary(spark, sf_dir):
 def run_counters(spark, sf_dir):
     """Run counters of normal training."""
     every = payloads(spark, sf_dir)
-    gold = vocabulary.train_vocabulary(every.where(F.col("tier") == "gold"), N)
-    bad = materialize(
-        vocabulary.train_vocabulary(every.where(F.col("tier") == "bad"), N, skip=(gold,)), "bad-vocabulary"
-    )
+    bad = materialize(vocabulary.train_bad_beside_gold(every, N), "bad-vocabulary")
     accepted = vocabulary.accepted_payloads(every.where(F.col("tier") == "normal"), bad, N)
     return vocabulary.training_counters(counts.count_grams(accepted, N), bad)
 

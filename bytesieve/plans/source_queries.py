@@ -230,7 +230,11 @@ def streamed_messages(spark, sf_dir):
     tcp = only_protocol(parse_frames(frames(spark, sf_dir)), PROTO_TCP)
     tcp.select("packet_no", "ts", *FLOW, "payload").repartitionByRange(4, "packet_no").write.parquet(source)
     session = ingest.state_session(spark)
-    stream = session.readStream.schema(spark.read.parquet(source).schema).parquet(source)
+    stream = (
+        session.readStream.schema(spark.read.parquet(source).schema)
+        .option("maxFilesPerTrigger", 2)
+        .parquet(source)
+    )
     messages = packet_streams.flow_messages(stream, late="400 days")
     messages.writeStream.format("parquet").outputMode("append").option(
         "checkpointLocation", scratch_path(spark, "messages-state")

@@ -49,6 +49,21 @@ def test_training_curve_against_loop(payload_table):
     assert got == expected and len(got) == 11
 
 
+@pytest.mark.parametrize("slice_bytes", [1 << 20, 7])
+def test_sightings_against_loop(payload_table, slice_bytes):
+    rng = random.Random(12)
+    payloads = [bytes(rng.choices(b"abcd", k=rng.randrange(60))) for _ in range(40)] + [b"a" * 90]
+    got = order.sighting_steps(payload_table(payloads), 4, ["doc_id"], slice_bytes=slice_bytes)
+    seen, expected, step = {}, [], 0
+    for p in payloads:
+        for i in range(len(p) - 3):
+            step += 1
+            seen[p[i : i + 4]] = seen.get(p[i : i + 4], 0) + 1
+            if seen[p[i : i + 4]] <= 2:
+                expected.append((seen[p[i : i + 4]], step))
+    assert sorted(tuple(r) for r in got.collect()) == sorted(expected)
+
+
 def test_saturation_step(spark):
     df = spark.createDataFrame(list(enumerate("xxyxz")), "n long, k string")
     assert [r["step"] for r in order.saturation_step(df, "k", "n", 2).collect()] == [5]

@@ -70,13 +70,11 @@ def test_order_needs_no_one_task_window_on_grams(spark, docs):
             assert re.search(r"Exchange hashpartitioning\(_part#", below)
 
 
-def test_curve_limits_sightings_before_the_shuffle(spark, docs):
-    wins = order.stepped_windows(docs, 5, ["doc_id"])
-    from pyspark.sql import Window
-
-    ranked = wins.withColumn("s", F.row_number().over(Window.partitionBy("gram").orderBy("step"))).where("s <= 2")
-    text = plan(ranked)
-    assert re.search(r"WindowGroupLimit[^\n]*Partial", text)
+def test_sightings_are_combined_before_each_shuffle(spark, docs):
+    text = plan(order.sighting_steps(docs, 5, ["doc_id"]))
+    assert "partial_min(step" in text
+    exchanges = [line for line in text.splitlines() if "Exchange hashpartitioning(gram" in line]
+    assert len(exchanges) == 1
 
 
 def test_bloom_shuffles_positions_once_and_builds_after(spark, docs):
