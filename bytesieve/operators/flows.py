@@ -76,11 +76,16 @@ def flow_buffers(packets: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFram
     up to ``chunk_bytes`` bytes is one row with ``chunk_no`` 0; flows without any payload
     give no row (see ``empty_flows``).
     """
-    filled = packets.where(F.length("payload") > 0)
-    lengths = filled.select(*FLOW, "packet_no", F.length("payload").cast("long").alias("_bytes"))
-    starts = running_total(lengths, {"_bytes": "_start"}, ["packet_no"], tuple(FLOW)).drop("_bytes")
     size = F.lit(chunk_bytes)
-    placed = filled.select(*FLOW, "packet_no", "payload").join(starts, [*FLOW, "packet_no"])
+    # Stored once: the totals then read lengths only, and frames are not parsed twice.
+    filled = materialize(
+        packets.where(F.length("payload") > 0).select(
+            *FLOW, "packet_no", F.length("payload").cast("long").alias("_bytes"), "payload"
+        ),
+        "payloads",
+    )
+    starts = running_total(filled.drop("payload"), {"_bytes": "_start"}, ["packet_no"], tuple(FLOW))
+    placed = filled.drop("_bytes").join(starts.drop("_bytes"), [*FLOW, "packet_no"])
     last = F.col("_start") + F.length("payload") - 1
     pieces = placed.select(
         *FLOW,

@@ -11,7 +11,13 @@ from bytesieve.functions.codec import num_windows, windows
 from bytesieve.operators.bloom import keep_possible
 from bytesieve.operators.counts import count_grams
 from bytesieve.operators.order import global_rank
-from bytesieve.session import BROADCAST_ROWS, fits, lookup_join, materialize
+from bytesieve.session import (
+    BROADCAST_ROWS,
+    broadcast_bytes_join,
+    fits,
+    lookup_join,
+    materialize,
+)
 
 # A payload is refused when more than one in this many of its windows is bad.
 DENY_ONE_IN = 20
@@ -56,7 +62,7 @@ def screen(
     grams = windows(payloads, n, keep=(id_col,)).select(id_col, "gram")
     vocab = bad.select("gram")
     if fits(vocab, max_rows):
-        marked = grams.join(F.broadcast(vocab.withColumn("_bad", F.lit(True))), "gram", "left")
+        marked = broadcast_bytes_join(grams, vocab.withColumn("_bad", F.lit(True)), "gram", "left")
         verdicts = marked.groupBy(id_col).agg(
             F.count("*").alias("num_wins"), F.count("_bad").alias("hits")
         )

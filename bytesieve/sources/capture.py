@@ -86,6 +86,8 @@ class CaptureWriter(DataSourceWriter):
 
     def __init__(self, options: dict, overwrite: bool):
         self.path = options["path"].removeprefix("file:")
+        if "://" in self.path:
+            raise ValueError("capture files are written to a file system path")
         self.nano = options.get("nano", "false").lower() == "true"
         self.order = ">" if options.get("byteorder", "little") == "big" else "<"
         self.job = uuid.uuid4().hex

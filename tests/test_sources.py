@@ -26,6 +26,19 @@ def test_salted_join_equals_broadcast_join(spark, how):
     assert rows[0] == rows[1] and rows[0]
 
 
+@pytest.mark.parametrize("how", ["left", "left_semi", "left_anti", "inner"])
+def test_bytes_join_equals_plain_join(spark, how):
+    rows = [(i, bytearray(bytes([i % 7, 0, 0][: 1 + i % 3]))) for i in range(200)]
+    left = spark.createDataFrame(rows, "id long, gram binary")
+    right = spark.createDataFrame([(bytearray(g), n) for n, g in enumerate([b"\x01", b"\x01\x00", b"\x05\x00\x00"])], "gram binary, v long")
+    columns = ["id", "gram", *(["v"] if how in ("left", "inner") else [])]
+    rows = [
+        sorted(map(repr, joined.select(*columns).collect()))
+        for joined in (lookup_join(left, right, ["gram"], how), left.join(right, "gram", how))
+    ]
+    assert rows[0] == rows[1] and rows[0]
+
+
 def test_hex_lines_keep_reading_order(spark, tmp_path):
     lines = [f"{i:08x}" for i in range(5000)]
     (tmp_path / "b.txt").write_text("\n".join(lines[2500:]) + "\n")
