@@ -43,7 +43,8 @@ def flow_messages(packets: DataFrame, *, late: str = "1 hour", idle_seconds: int
     Payloads of a flow are fed in packet order; an unfinished message stays in the stream
     state until later packets complete it. A flow that is idle for
     ``idle_seconds`` of event time is freed. Rows later than ``late`` are dropped by the
-    watermark and counted in the query progress (see ``late_rows``).
+    watermark and counted in the query progress (see ``late_rows``). A task holds the rows that
+    one flow has in one batch, so bound the batches at the source (``maxFilesPerTrigger``).
     """
     idle_ms = idle_seconds * 1000
 
@@ -63,12 +64,9 @@ def flow_messages(packets: DataFrame, *, late: str = "1 hour", idle_seconds: int
         state.update(cutter.state())
         newest = int(arrived["ts_ms"].max())
         state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + idle_ms)
-        out = pd.DataFrame(
-            rows,
-            columns=[*FLOW, "packet_no", "kind", "method", "uri", "status", "message_bytes"],
-        )
-        out["status"] = out["status"].astype("Int32")
-        yield out
+        if rows:
+            columns = [*FLOW, "packet_no", "kind", "method", "uri", "status", "message_bytes"]
+            yield pd.DataFrame(rows, columns=columns).astype({"status": "Int32"})
 
     keyed = packets.withWatermark("ts", late).select(
         *FLOW, "packet_no", "payload", "ts", F.unix_millis("ts").alias("ts_ms")

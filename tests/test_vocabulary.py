@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bytesieve.operators import counts, vocabulary
 from bytesieve.plans.inputs import payloads as tiered_payloads
+from bytesieve.sources.payloads import LINE_ORDER, hex_lines
 
 
 def grams_of(p, n, cap=None):
@@ -125,3 +126,23 @@ def test_generations(spark):
     got = gram_dict(vocabulary.generations(first, 20, published=3), "generation")
     in_order = sorted(range(50), key=lambda i: (i * 37) % 101)
     assert got == {bytes([g]): 3 + rank // 20 for rank, g in enumerate(in_order)}
+
+
+def test_tiers_from_files(spark, tmp_path):
+    rng = random.Random(41)
+    words = [rng.randbytes(7) for _ in range(30)]
+    rows, lines = [], None
+    for tier, pool in (("gold", words[:15]), ("bad", words[10:20]), ("normal", words)):
+        (tmp_path / tier).mkdir()
+        for number in range(3):
+            texts = [b"".join(rng.choices(pool, k=rng.randrange(1, 20))) for _ in range(20)]
+            (tmp_path / tier / f"{number}.txt").write_text("".join(t.hex() + "\n" for t in texts) + "zz\nabc\n")
+            rows += [(tier, t) for t in texts]
+        read = hex_lines(spark, str(tmp_path / tier), tier)
+        lines = read if lines is None else lines.unionByName(read)
+    payloads = counts.decoded(lines.withColumn("doc_id", F.struct(*LINE_ORDER)))
+    trained = vocabulary.train_tiers(payloads, 5)
+    expected = train_by_hand(rows, 5)
+    for tier, table in trained.items():
+        assert gram_dict(table) == expected[tier], tier
+    assert expected["normal"]
