@@ -207,7 +207,9 @@ def keep_first(documents: DataFrame, size: int = SHINGLE_WORDS, radius: int = RA
     kept = materialize(
         found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_copies")), "simhash-kept"
     )
-    stay = documents.join(kept.select(F.col("doc_id").alias("_kept_id")), F.col("doc_id") == F.col("_kept_id"), "left_semi")
+    # Hashed at every size: the ids grow with the input, and texts need not be sorted.
+    ids = kept.select(F.col("doc_id").alias("_kept_id")).hint("shuffle_hash")
+    stay = documents.join(ids, F.col("doc_id") == F.col("_kept_id"), "left_semi")
     if not kept.where("_copies > 1").isEmpty():
         whole = F.struct(*documents.columns)
         stay = stay.groupBy("doc_id").agg(F.min(whole).alias("_row")).select("_row.*").select(*documents.columns)
