@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,10 @@ METHODS = (
 ).split()
 
 _BLANK_LINE = "\r\n\r\n"
+# One grammar for buffers and for streams: the request line, the response line, the announced body.
+_REQUEST = r"^(" + "|".join(METHODS) + r") +(\S+)(?: +HTTP\S*)? *\r\n"
+_RESPONSE = r"^HTTP/\d\.\d +(\d{3})[^\r\n]*\r\n"
+_ANNOUNCED = r"(?i)\r\ncontent-length: *(\d{1,18})\s*\r\n"
 
 
 def message_heads(df: DataFrame, data: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -22,9 +28,6 @@ def message_heads(df: DataFrame, data: str, keep: tuple[str, ...] = ()) -> DataF
     and ``complete``, whether the announced body has arrived. A buffer is a response exactly if
     it starts with ``HTTP``.
     """
-    request = r"^(" + "|".join(METHODS) + r") +(\S+)(?: +HTTP\S*)? *\r\n"
-    response = r"^HTTP/\d\.\d +(\d{3})[^\r\n]*\r\n"
-    announced = r"(?i)\r\ncontent-length: *(\d{1,18})\s*\r\n"
     # One Latin-1 character per byte, so character positions are byte positions.
     text = F.decode(F.col(data), "ISO-8859-1")
 
@@ -41,11 +44,11 @@ def message_heads(df: DataFrame, data: str, keep: tuple[str, ...] = ()) -> DataF
         *keep,
         "_size",
         is_response.alias("_response"),
-        F.when(~is_response, found(request)).alias("method"),
-        F.when(~is_response, found(request, 2)).alias("uri"),
-        F.when(is_response, found(response)).cast("int").alias("status"),
+        F.when(~is_response, found(_REQUEST)).alias("method"),
+        F.when(~is_response, found(_REQUEST, 2)).alias("uri"),
+        F.when(is_response, found(_RESPONSE)).cast("int").alias("status"),
         F.length("_head").cast("long").alias("head_bytes"),
-        F.coalesce(found(announced).cast("long"), F.lit(0).cast("long")).alias("body_bytes"),
+        F.coalesce(found(_ANNOUNCED).cast("long"), F.lit(0).cast("long")).alias("body_bytes"),
     )
     message = F.struct(
         *keep,
@@ -59,26 +62,22 @@ def message_heads(df: DataFrame, data: str, keep: tuple[str, ...] = ()) -> DataF
 
 def _read_head(head: bytes) -> tuple[tuple, int] | None:
     """(kind, method, uri, status) and announced body bytes of a whole head, None if foreign."""
-    first, *lines = head.decode("latin-1").split("\r\n")
-    words = first.split()
-    body = 0
-    for line in lines:
-        name, _, value = line.partition(":")
-        if name.strip().lower() == "content-length" and value.strip().isdigit():
-            body = int(value)
-    if head[:4] == b"HTTP":
-        if len(words) > 1 and words[1].isdigit():
-            return ("response", None, None, int(words[1])), body
-    elif len(words) > 1 and words[0] in METHODS:
-        return ("request", words[0], words[1], None), body
-    return None
+    text = head.decode("latin-1")
+    announced = re.search(_ANNOUNCED, text, re.ASCII)
+    body = int(announced[1]) if announced else 0
+    if text.startswith("HTTP"):
+        found = re.match(_RESPONSE, text, re.ASCII)
+        return (("response", None, None, int(found[1])), body) if found else None
+    found = re.match(_REQUEST, text, re.ASCII)
+    return (("request", found[1], found[2], None), body) if found else None
 
 
 def _may_start(data: bytes) -> bool:
     """Whether bytes without a whole head can still grow into a message."""
     word, blank, _ = data.decode("latin-1").partition(" ")
-    starts = [*METHODS, "HTTP/1.0", "HTTP/1.1"]
-    return word in starts if blank else any(start.startswith(word) for start in starts)
+    if word.startswith("HTTP"):
+        return re.match(r"^HTTP(/(\d(\.(\d)?)?)?)?$", word, re.ASCII) is not None
+    return word in METHODS if blank else any(start.startswith(word) for start in (*METHODS, "HTTP"))
 
 
 class MessageCutter:
@@ -120,7 +119,7 @@ class MessageCutter:
             if end < 0:
                 self.foreign = not _may_start(self.head)
                 break
-            parsed = _read_head(self.head[:end])
+            parsed = _read_head(self.head[: end + 4])
             if parsed is None:
                 self.foreign = True
                 break

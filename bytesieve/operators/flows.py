@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bytesieve.functions.headers import FLOW, PROTO_TCP
-from bytesieve.functions.http import message_heads
+from bytesieve.functions.http import METHODS, message_heads
 from bytesieve.operators.order import global_rank, running_total
 from bytesieve.session import lookup_join, materialize
 
@@ -75,6 +75,9 @@ def flow_buffers(packets: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFram
     goes straight to the chunks it touches and no task ever holds a whole flow. A flow of
     up to ``chunk_bytes`` bytes is one row with ``chunk_no`` 0; flows without any payload
     give no row (see ``empty_flows``).
+
+    ``packet_no`` must be different for every packet of a flow, or there is no order to join them in: packets of
+    several capture files are numbered by ``number_frames`` first. Equal numbers raise an error.
     """
     size = F.lit(chunk_bytes)
     # Stored once: the totals then read lengths only, and frames are not parsed twice.
@@ -84,6 +87,9 @@ def flow_buffers(packets: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFram
         ),
         "payloads",
     )
+    repeated = filled.groupBy(*FLOW, "packet_no").count().where("count > 1")
+    if not repeated.isEmpty():
+        raise ValueError("packet_no repeats within a flow; number the packets through all capture files")
     starts = running_total(filled.drop("payload"), {"_bytes": "_start"}, ["packet_no"], tuple(FLOW))
     placed = filled.drop("_bytes").join(starts.drop("_bytes"), [*FLOW, "packet_no"])
     last = F.col("_start") + F.length("payload") - 1
@@ -121,12 +127,29 @@ def empty_flows(packets: DataFrame) -> DataFrame:
 
 
 def first_messages(buffers: DataFrame) -> DataFrame:
-    """Head of the first HTTP message of each flow.
+    """Head of the first HTTP message of each flow, whatever the size of its chunks (three bytes at least).
 
-    Looks at the first chunk, so ``complete`` is left out: a body may run into later ones.
+    The head is assembled from the first chunk up to the one in which its blank line ends, which may begin in
+    the chunk before. Flows that begin with no method or version are not searched.
+    ``complete`` is left out: a body may run into later chunks.
     """
-    heads = message_heads(buffers.where(F.col("chunk_no") == 0), "buffer", tuple(FLOW))
-    return heads.drop("complete")
+    starts = sorted({word[:3] for word in (*METHODS, "HTTP")})
+    begins = buffers.where((F.col("chunk_no") == 0) & F.left(F.col("buffer").cast("string"), F.lit(3)).isin(starts))
+    stored = materialize(buffers.join(begins.select(*FLOW), FLOW, "left_semi"), "buffers")
+    before = stored.select(
+        *FLOW, (F.col("chunk_no") + 1).alias("chunk_no"), F.expr("right(hex(buffer), 6)").alias("_tail")
+    )
+    seam = F.concat(F.unhex(F.coalesce("_tail", F.lit(""))), F.col("buffer"))
+    ending = (
+        stored.join(before, [*FLOW, "chunk_no"], "left")
+        .where(F.position(F.lit(b"\r\n\r\n"), seam) > 0)
+        .groupBy(*FLOW)
+        .agg(F.min("chunk_no").alias("_last"))
+    )
+    needed = stored.join(ending, FLOW).where(F.col("chunk_no") <= F.col("_last"))
+    joined = F.expr("listagg(_chunk.buffer) WITHIN GROUP (ORDER BY _chunk.chunk_no)")
+    whole = needed.select(*FLOW, F.struct("chunk_no", "buffer").alias("_chunk")).groupBy(*FLOW).agg(joined.alias("buffer"))
+    return message_heads(whole, "buffer", tuple(FLOW)).drop("complete")
 
 
 def udp_rows(packets: DataFrame) -> DataFrame:

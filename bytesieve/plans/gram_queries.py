@@ -13,7 +13,7 @@ from bytesieve.functions.codec import hex_decode, hex_encode, windows
 from bytesieve.functions.hashing import poly_hash, sign, slot
 from bytesieve.operators import bloom, counts, order, search, topk, vocabulary
 from bytesieve.operators.counts import gram_hex
-from bytesieve.plans.inputs import documents, hex_payloads, passages, payloads, table
+from bytesieve.plans.inputs import documents, hex_payloads, passages, payloads, table, texts
 from bytesieve.plans.registry import query
 from bytesieve.plans.sql_parts import PAYLOADS, gram_counts, tiers
 from bytesieve.plans.sql_parts import windows as windows_sql
@@ -29,7 +29,7 @@ TIER_COUNTS = f"{WINS}, {gram_counts('tier')}"
 
 
 def _counts(spark: SparkSession, sf_dir: str, n: int = N) -> DataFrame:
-    return counts.count_grams(payloads(spark, sf_dir), n)
+    return counts.count_grams(texts(spark, sf_dir), n)
 
 
 def _tier_counts(spark: SparkSession, sf_dir: str, n: int = N) -> DataFrame:
@@ -37,7 +37,7 @@ def _tier_counts(spark: SparkSession, sf_dir: str, n: int = N) -> DataFrame:
 
 
 def _stepped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return order.stepped_windows(payloads(spark, sf_dir), N, ["doc_id"])
+    return order.stepped_windows(texts(spark, sf_dir), N, ["doc_id"])
 
 
 STEPPED = f"""{WINS}, starts AS (
@@ -116,7 +116,7 @@ def hash_slots(spark, sf_dir):
 )
 def byte_windows(spark, sf_dir):
     """All windows of each payload."""
-    wins = windows(payloads(spark, sf_dir), N, keep=("doc_id",))
+    wins = windows(texts(spark, sf_dir), N, keep=("doc_id",))
     summed = wins.groupBy("doc_id").agg(
         F.count("*").alias("wins"),
         F.sum("i").alias("offset_sum"),
@@ -137,7 +137,7 @@ def byte_windows(spark, sf_dir):
 )
 def polynomial_hash(spark, sf_dir):
     """P5: polynomial hash of each whole payload."""
-    return payloads(spark, sf_dir).select("doc_id", poly_hash(F.col("payload")).alias("poly"))
+    return texts(spark, sf_dir).select("doc_id", poly_hash(F.col("payload")).alias("poly"))
 
 
 @query(
@@ -585,7 +585,7 @@ def filter_generations(spark, sf_dir):
 )
 def training_curve(spark, sf_dir):
     """Totals of first and second sightings after each 10,000 windows."""
-    curve = order.training_curve(payloads(spark, sf_dir), N, ["doc_id"])
+    curve = order.training_curve(texts(spark, sf_dir), N, ["doc_id"])
     return curve.withColumn("unseen_rate", F.round("unseen_rate", 9))
 
 
@@ -607,7 +607,7 @@ def distinct_saturation(spark, sf_dir):
 )
 def window_budget(spark, sf_dir):
     """E5: payloads read until a budget of windows is passed."""
-    kept = order.within_budget(payloads(spark, sf_dir), 4, 1_000_000, ["doc_id"], min_bytes=5)
+    kept = order.within_budget(texts(spark, sf_dir), 4, 1_000_000, ["doc_id"], min_bytes=5)
     return kept.select("doc_id", (F.length("payload") - 3).cast("long").alias("wins"))
 
 

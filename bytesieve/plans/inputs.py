@@ -16,6 +16,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), "doc_id")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, source and the text's bytes, for work that needs no tier and so no labels."""
+    return documents(spark, sf_dir).select("doc_id", "source", F.col("text").cast("binary").alias("payload"))
+
+
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, source, tier and the text's bytes; tier by label, ``normal`` without one."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
@@ -29,9 +34,7 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hex_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return payloads(spark, sf_dir).select(
-        "doc_id", "source", "tier", F.lower(F.hex("payload")).alias("payload_hex")
-    )
+    return texts(spark, sf_dir).select("doc_id", "source", F.lower(F.hex("payload")).alias("payload_hex"))
 
 
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from bytesieve.functions.headers import FLOW, PROTO_TCP, PROTO_UDP, only_protoco
 from bytesieve.operators import bloom, counts, flows, order, vocabulary
 from bytesieve.operators.counts import gram_hex
 from bytesieve.plans.gram_queries import CAPACITY, COUNTS, HASHES, N, STEPPED, TIER_COUNTS
-from bytesieve.plans.inputs import documents, frames, hex_payloads, payloads
+from bytesieve.plans.inputs import documents, frames, hex_payloads, payloads, texts
 from bytesieve.plans.packet_queries import DECODED_SQL, FRAMES_SQL, STREAMS_SQL
 from bytesieve.plans.registry import query
 from bytesieve.plans.sql_parts import PAYLOADS
@@ -24,12 +24,14 @@ from bytesieve.streaming import ingest
 from bytesieve.streaming import packets as packet_streams
 
 
+FILES_PER_SOURCE = 4
+
+
 def _hex_folder(spark, sf_dir) -> str:
-    """Payload text files, one folder per source."""
+    """Payload text files, one folder per source, a source dealt over several tasks."""
     path = scratch_path(spark, "hex-lines")
-    hex_payloads(spark, sf_dir).select("source", "payload_hex").repartition("source").write.partitionBy(
-        "source"
-    ).text(path)
+    dealt = hex_payloads(spark, sf_dir).repartition("source", F.pmod("doc_id", F.lit(FILES_PER_SOURCE)))
+    dealt.select("source", "payload_hex").write.partitionBy("source").text(path)
     return path
 
 
@@ -117,6 +119,38 @@ def capture_packets(spark, sf_dir):
     return ip.select("proto", *FLOW, "flags", hex_encode(F.col("payload")).alias("payload_hex"))
 
 
+def _captured_tcp(spark, sf_dir):
+    """TCP packets of several capture files, numbered through all of them."""
+    folder = scratch_path(spark, "rotated")
+    # Some files even on one core; a file holds an interval of packets, as rotation leaves them.
+    capture.write_captures(frames(spark, sf_dir), folder, files=5)
+    numbered = capture.number_frames(capture.read_captures(spark, folder))
+    return only_protocol(parse_frames(numbered), PROTO_TCP)
+
+
+@query(
+    f"""{DECODED_SQL} SELECT src, dst, sport, dport, 0::BIGINT AS chunk_no,
+      string_agg(payload_hex, '' ORDER BY ts_us, packet_no) AS buffer_hex
+    FROM decoded WHERE proto = 6 GROUP BY src, dst, sport, dport HAVING string_agg(payload_hex, '') <> ''"""
+)
+def capture_flow_buffers(spark, sf_dir):
+    """Flows whose packets lie in several capture files."""
+    built = flows.flow_buffers(_captured_tcp(spark, sf_dir))
+    return built.select(*FLOW, "chunk_no", hex_encode(F.col("buffer")).alias("buffer_hex"))
+
+
+@query(
+    f"""{DECODED_SQL}, timed AS (SELECT *, row_number() OVER (ORDER BY ts_us, packet_no) AS place,
+        least(src || ' ' || lpad(sport::VARCHAR, 5, '0') || '|' || dst || ' ' || lpad(dport::VARCHAR, 5, '0'),
+          dst || ' ' || lpad(dport::VARCHAR, 5, '0') || '|' || src || ' ' || lpad(sport::VARCHAR, 5, '0')) AS pair
+      FROM decoded WHERE proto = 6)
+    SELECT row_number() OVER (ORDER BY min(place)) - 1 AS stream_id, count(*) AS packets FROM timed GROUP BY pair"""
+)
+def capture_stream_list(spark, sf_dir):
+    """Conversations over several capture files, numbered by their first packet."""
+    return flows.stream_table(_captured_tcp(spark, sf_dir)).select("stream_id", "packets")
+
+
 @query(f"{FRAMES_SQL} SELECT ts_us, frame_hex FROM frames")
 def capture_round_trip(spark, sf_dir):
     """Frames and times written as capture files and read back."""
@@ -159,7 +193,7 @@ def saved_counts(spark, sf_dir):
 def saved_filters(spark, sf_dir):
     """A10: filter generations saved and loaded; each still finds all of its grams."""
     path = scratch_path(spark, "saved-filters")
-    first = vocabulary.first_steps(order.stepped_windows(payloads(spark, sf_dir), N, ["doc_id"]))
+    first = vocabulary.first_steps(order.stepped_windows(texts(spark, sf_dir), N, ["doc_id"]))
     vocab = materialize(
         vocabulary.generations(first, CAPACITY).select(F.lit("all").alias("tier"), "generation", "gram"), "vocab"
     )
@@ -204,7 +238,7 @@ def port80_stream(spark, sf_dir):
 def streamed_counts(spark, sf_dir):
     """H1: counts ingested file by file over several batches, then compacted."""
     deltas, state = scratch_path(spark, "deltas"), scratch_path(spark, "deltas-state")
-    ingest.ingest_counts(spark, _hex_folder(spark, sf_dir) + "/*", deltas, state, N, files_per_batch=7)
+    ingest.ingest_counts(spark, _hex_folder(spark, sf_dir) + "/*", deltas, state, N, files_per_batch=28)
     total = ingest.compact_counts(spark, deltas, scratch_path(spark, "compacted"))
     return total.select(gram_hex(), "cnt")
 
@@ -213,7 +247,7 @@ def streamed_counts(spark, sf_dir):
 def streamed_second_sightings(spark, sf_dir):
     """H2: grams that a stream has seen twice or more."""
     deltas, state = scratch_path(spark, "seen"), scratch_path(spark, "seen-state")
-    ingest.ingest_second_sightings(spark, _hex_folder(spark, sf_dir) + "/*", deltas, state, N, files_per_batch=7)
+    ingest.ingest_second_sightings(spark, _hex_folder(spark, sf_dir) + "/*", deltas, state, N, files_per_batch=28)
     return ingest.second_sighting_vocabulary(spark, deltas).select(gram_hex(), "cnt")
 
 
@@ -248,25 +282,14 @@ def streamed_messages(spark, sf_dir):
       CAST(sum(greatest(octet_length(payload) - 4, 0)) AS BIGINT) AS ngrams FROM payloads"""
 )
 def live_counters(spark, sf_dir):
-    """H5: counters observed while a stream runs, added over its batches."""
+    """H5: counters kept for each batch of a stream, added over all of them."""
     from bytesieve.functions.codec import hex_decode
 
-    stream = ingest.payload_stream(spark, _hex_folder(spark, sf_dir) + "/*", files_per_batch=7)
-    watched = ingest.observe_training(
-        stream.withColumn("payload", hex_decode(F.col("payload_hex"))), N
-    )
-    query_run = (
-        watched.select(F.length("payload").alias("bytes"))
-        .writeStream.format("parquet")
-        .option("checkpointLocation", scratch_path(spark, "watched-state"))
-        .trigger(availableNow=True)
-        .start(scratch_path(spark, "watched"))
-    )
-    query_run.awaitTermination()
-    rows = [tuple(row.values()) for row in ingest.observed_totals(query_run)]
-    observed = spark.createDataFrame(
-        rows, "batch_id long, payloads long, undecodable long, too_short long, ngrams long"
+    stream = ingest.payload_stream(spark, _hex_folder(spark, sf_dir) + "/*", files_per_batch=28)
+    counters = scratch_path(spark, "watched")
+    ingest.count_training(
+        stream.withColumn("payload", hex_decode(F.col("payload_hex"))), N, counters, scratch_path(spark, "watched-state")
     )
-    return observed.agg(
+    return ingest.training_counters(spark, counters).agg(
         *[F.sum(name).alias(name) for name in ("payloads", "undecodable", "too_short", "ngrams")]
     )

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
+from bytesieve.operators.order import global_rank
+
 # Fixed values of the capture file format.
 MAGIC_MICRO = 0xA1B2C3D4
 MAGIC_NANO = 0xA1B23C4D
@@ -25,8 +27,12 @@ FRAME_SCHEMA = "path string, packet_no long, ts timestamp, ts_ns long, frame bin
 _BATCH = 4_096
 
 
-def split_records(content: bytes) -> Iterator[tuple[int, bytes]]:
-    """(time in nanoseconds, frame) of each whole record; raises on a foreign file."""
+def split_records(content: bytes, damaged: str = "fail") -> Iterator[tuple[int | None, bytes | None]]:
+    """(time in nanoseconds, frame) of each record; raises on a foreign file.
+
+    A record that does not fit the file makes the rest of it unreadable. That raises with ``damaged`` "fail"; with
+    "mark" one last (None, None) stands for the rest.
+    """
     size = struct.calcsize("=" + FILE_HEADER)
     for order in "<>":
         if len(content) >= size:
@@ -40,19 +46,24 @@ def split_records(content: bytes) -> Iterator[tuple[int, bytes]]:
     at = size
     while at + record.size <= len(content):
         seconds, fraction, stored, _ = record.unpack_from(content, at)
+        if at + record.size + stored > len(content):
+            break
         at += record.size
-        if at + stored > len(content):
-            return
         yield seconds * 1_000_000_000 + fraction * unit, content[at : at + stored]
         at += stored
+    if at < len(content):
+        if damaged != "mark":
+            raise ValueError(f"damaged capture file: no whole record at byte {at} of {len(content)}")
+        yield None, None
 
 
-def _frame_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _frame_batches(batches: Iterator[pd.DataFrame], damaged: str) -> Iterator[pd.DataFrame]:
     for files in batches:
         for path, content in zip(files["path"], files["content"]):
             rows: list[tuple] = []
-            for number, (ns, frame) in enumerate(split_records(bytes(content))):
-                rows.append((path, number, pd.Timestamp(ns // 1_000, unit="us", tz="UTC"), ns, frame))
+            for number, (ns, frame) in enumerate(split_records(bytes(content), damaged)):
+                time = None if ns is None else pd.Timestamp(ns // 1_000, unit="us", tz="UTC")
+                rows.append((path, number, time, ns, frame))
                 if len(rows) == _BATCH:
                     yield _as_pandas(rows)
                     rows = []
@@ -61,16 +72,35 @@ def _frame_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _as_pandas(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["path", "packet_no", "ts", "ts_ns", "frame"])
+    table = pd.DataFrame(rows, columns=["path", "packet_no", "ts", "ts_ns", "frame"])
+    return table.astype({"ts_ns": "Int64", "ts": "datetime64[us, UTC]"})
 
 
-def split_frames(files: DataFrame) -> DataFrame:
+def split_frames(files: DataFrame, damaged: str = "fail") -> DataFrame:
     """Frames of whole capture files given as ``path`` and ``content``."""
-    return files.select("path", "content").mapInPandas(_frame_batches, FRAME_SCHEMA)
+    return files.select("path", "content").mapInPandas(
+        lambda batches: _frame_batches(batches, damaged), FRAME_SCHEMA
+    )
+
+
+def number_frames(frames: DataFrame) -> DataFrame:
+    """Frames of all files in one order: ``packet_no`` counts from 0 through all of them, ``file_no`` in the file.
+
+    The order is that of time, then path, then place in the file. Everything that puts packets of a flow in
+    order needs a number that no two packets share. Marks of unreadable rests have no time and no place and are left out.
+    """
+    whole = frames.where("frame IS NOT NULL").withColumnRenamed("packet_no", "file_no")
+    ranked = global_rank(whole, ["ts_ns", "path", "file_no"])
+    return ranked.withColumn("packet_no", F.col("rank") - 1).drop("rank")
+
 
+def read_captures(
+    spark: SparkSession, path: str, pattern: str = "*.pcap", *, damaged: str = "fail"
+) -> DataFrame:
+    """Frames of all capture files; ``packet_no`` counts from 0 inside each file (see ``number_frames``).
 
-def read_captures(spark: SparkSession, path: str, pattern: str = "*.pcap") -> DataFrame:
-    """Frames of all capture files; ``packet_no`` counts from 0 inside each file.
+    A damaged file fails the read; with ``damaged`` "mark" a row with null ``frame`` stands for
+    what could not be read of it, numbered like the record it begins with.
 
     ``ts`` holds microseconds, as Spark timestamps do; ``ts_ns`` keeps the full time.
 
@@ -78,7 +108,7 @@ def read_captures(spark: SparkSession, path: str, pattern: str = "*.pcap") -> Da
     rotate captures well below the 2 GB a row can hold.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
-    return split_frames(files)
+    return split_frames(files, damaged)
 
 
 class CaptureWriter(DataSourceWriter):
@@ -147,15 +177,17 @@ class CaptureDataSource(DataSource):
 
 
 def write_captures(
-    frames: DataFrame, path: str, *, nano: bool = False, byteorder: str = "little"
+    frames: DataFrame, path: str, *, nano: bool = False, byteorder: str = "little", files: int | None = None
 ) -> None:
     """Write ``frames(packet_no, ts_ns, frame)`` as capture files, one per task.
 
-    Files follow each other in packet order. ``path`` must be a folder that driver and
+    Files follow each other in packet order; ``files`` sets how many there are, about. ``path`` must be a folder that driver and
     executors share as a file system.
     """
     frames.sparkSession.dataSource.register(CaptureDataSource)
-    ordered = frames.repartitionByRange("packet_no").sortWithinPartitions("packet_no")
+    key = F.col("packet_no")
+    ranged = frames.repartitionByRange(files, key) if files else frames.repartitionByRange(key)
+    ordered = ranged.sortWithinPartitions("packet_no")
     (
         ordered.select(F.col("ts_ns").cast("long").alias("ts_ns"), "frame")
         .write.format("capture")

@@ -158,8 +158,37 @@ def observe_training(payloads: DataFrame, n: int, name: str = "train") -> DataFr
     )
 
 
+def count_training(
+    payloads: DataFrame, n: int, path: str, checkpoint: str
+) -> StreamingQuery:
+    """Keep the counters of ``observe_training`` for every batch of a stream, one row each under ``path``.
+
+    A replayed batch replaces its row, and no batch is forgotten however many there are.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        wins = num_windows(F.col("payload"), n)
+        row = batch.agg(
+            F.count(F.lit(1)).alias("payloads"),
+            F.count_if(F.col("payload").isNull()).alias("undecodable"),
+            F.count_if(F.length("payload") < n).alias("too_short"),
+            F.coalesce(F.sum(wins), F.lit(0)).cast("long").alias("ngrams"),
+        )
+        row.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return run_batches(payloads, checkpoint, write)
+
+
+def training_counters(spark: SparkSession, path: str) -> DataFrame:
+    """Counters of all batches with their ``batch_id``."""
+    return read_deltas(spark, path, "payloads long, undecodable long, too_short long, ngrams long")
+
+
 def observed_totals(query: StreamingQuery, name: str = "train") -> list[dict]:
-    """Counters of each finished batch that read anything, with its ``batch_id``."""
+    """Counters of each batch in the query's recent progress that read anything, with its ``batch_id``.
+
+    Spark keeps a limited number of progress reports; for totals use ``count_training``.
+    """
     return [
         {"batch_id": progress["batchId"], **progress["observedMetrics"][name].asDict()}
         for progress in query.recentProgress

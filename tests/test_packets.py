@@ -210,3 +210,50 @@ def test_long_streams_are_written_by_several_tasks(spark, many_packets, tmp_path
     back = {r["packet_no"]: r["stream_id"] for r in spark.read.parquet(path).collect()}
     assert back == {r["packet_no"]: r["stream_id"] for r in streamed.collect()}
     assert len(back) == sum(r[1] == 6 for r in rows)
+
+
+def test_heads_do_not_depend_on_chunk_size(spark):
+    long_head = b"GET /" + b"a" * 200 + b" HTTP/1.1\r\nHost: h\r\n\r\nbody"
+    payloads = {
+        1: [long_head[:70], long_head[70:]], 2: [b"HTTP/1.1 200 OK\r\n\r", b"\n"], 3: [b"GET / HTTP/1.1\r\nHost: h"],
+        4: [b"\x00\x01 GET / HTTP/1.1\r\n\r\n"], 5: [b"PUT /x HTTP/1.1\r\n\r\n" + b"z" * 99],
+    }
+    rows = [
+        (10 * port + i, 6, "a", "b", port, 80, bytearray(part))
+        for port, parts in payloads.items()
+        for i, part in enumerate(parts)
+    ]
+    df = spark.createDataFrame(rows, PACKETS)
+    results = [
+        sorted(tuple(r) for r in flows.first_messages(flows.flow_buffers(df, chunk_bytes=size)).collect())
+        for size in (3, 16, 64, 1 << 20)
+    ]
+    assert all(result == results[0] for result in results)
+    assert [(r[2], r[4]) for r in results[0]] == [(1, "request"), (2, "response"), (5, "request")]
+
+
+def test_equal_packet_numbers_in_a_flow_are_refused(spark):
+    rows = [(0, 6, "a", "b", 1, 2, bytearray(b"A")), (0, 6, "a", "b", 1, 2, bytearray(b"B"))]
+    with pytest.raises(ValueError, match="packet_no repeats"):
+        flows.flow_buffers(spark.createDataFrame(rows, PACKETS))
+
+
+@pytest.mark.parametrize(
+    "message, kind",
+    [
+        (b"HTTP/2.0 200 OK\r\n\r\n", "response"), (b"GET /a HTTP/1.1\r\n\r\n", "request"), (b" GET /a HTTP/1.1\r\n\r\n", None),
+        (b"HTTP/1.1 20 OK\r\n\r\n", None), (b"HTTPS nonsense\r\n\r\n", None), (b"VERSION-CONTROL /v\r\n\r\n", "request"),
+        (b"PUT /p HTTP/1.1\r\nContent-Length: 3\r\nContent-Length: 9\r\n\r\nabc", "request"),
+    ],
+)
+def test_one_grammar_for_buffers_and_streams_cut_anywhere(spark, message, kind):
+    from bytesieve.functions.http import MessageCutter, message_heads
+
+    heads = message_heads(spark.createDataFrame([(bytearray(message),)], "buffer binary"), "buffer").collect()
+    assert [r["kind"] for r in heads] == ([kind] if kind else [])
+    for cut in range(1, len(message)):
+        cutter = MessageCutter()
+        found = cutter.feed(message[:cut])
+        cutter = MessageCutter(cutter.state())
+        found += cutter.feed(message[cut:])
+        assert [m[0] for m in found] == ([kind] if kind else []), cut

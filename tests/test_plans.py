@@ -102,3 +102,11 @@ def test_flow_chunks_are_grouped_by_bounded_chunk(spark):
     text = plan(flows.flow_buffers(packets))
     groups = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", text)
     assert "chunk_no" in groups[0]
+
+
+def test_counting_texts_needs_no_labels(spark):
+    from bytesieve.plans.registry import QUERIES
+    import bytesieve.plans.gram_queries  # noqa: F401
+
+    df = QUERIES["exact_counts"](spark, "/root/testdata/sf0.001")
+    assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()

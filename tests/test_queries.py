@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_module
+from bytesieve.plans.registry import QUERIES as REGISTERED
 
 SF_DIR = "/root/testdata/sf0.001"
 TABLES = (
@@ -37,7 +38,7 @@ def test_equals_sql(spark, duck, name):
 
 @pytest.fixture(scope="module")
 def without_sql(spark):
-    return {name: QUERIES[name](spark, SF_DIR).collect() for name in QUERIES if name not in ORACLES}
+    return {name: QUERIES[name](spark, SF_DIR).collect() for name in REGISTERED if name not in ORACLES}
 
 
 def test_oracles_belong_to_queries():

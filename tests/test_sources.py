@@ -162,3 +162,31 @@ def test_unreadable_filter_generation_is_skipped(spark, tmp_path):
     assert sorted(r["generation"] for r in meta.collect()) == [0, 2]
     assert [r["generation"] for r in skipped.collect()] == [1]
     assert sorted({r["generation"] for r in bitmaps.collect()}) == [0, 2]
+
+
+def test_packets_of_one_flow_in_several_capture_files(spark, tmp_path):
+    """Two files whose packets have equal numbers: numbered through both, the flow's bytes are in order."""
+    from bytesieve.operators.flows import flow_buffers
+
+    def record(second, payload):
+        return struct.pack("<IIII", second, 0, len(payload), len(payload)) + payload
+
+    header = struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 262144, 1)
+    (tmp_path / "b.pcap").write_bytes(header + record(1, b"AAAA") + record(2, b"BBBB"))
+    (tmp_path / "a.pcap").write_bytes(header + record(3, b"CCCC") + record(3, b"DDDD"))
+    numbered = capture.number_frames(capture.read_captures(spark, str(tmp_path)))
+    packets = numbered.selectExpr("packet_no", "'s' AS src", "'d' AS dst", "1 AS sport", "2 AS dport", "frame AS payload")
+    assert [bytes(r["buffer"]) for r in flow_buffers(packets).collect()] == [b"AAAABBBBCCCCDDDD"]
+    assert sorted((r["packet_no"], r["file_no"]) for r in numbered.collect()) == [(0, 0), (1, 1), (2, 0), (3, 1)]
+
+
+def test_damaged_captures_fail_or_are_marked(spark, tmp_path):
+    header = struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 262144, 1)
+    good = struct.pack("<IIII", 1, 0, 2, 2) + b"ok"
+    (tmp_path / "x.pcap").write_bytes(header + good + good + struct.pack("<IIII", 1, 0, 999, 999) + b"rest")
+    with pytest.raises(Exception, match="damaged capture file"):
+        capture.read_captures(spark, str(tmp_path)).collect()
+    rows = capture.read_captures(spark, str(tmp_path), damaged="mark").orderBy("packet_no").collect()
+    assert [(r["packet_no"], r["frame"] is None, r["ts_ns"]) for r in rows] == [
+        (0, False, 10**9), (1, False, 10**9), (2, True, None),
+    ]
