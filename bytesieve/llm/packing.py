@@ -17,7 +17,7 @@ from bytesieve.session import materialize
 # Pieces that one task packs together; a group leaves at most a few sequences unfilled.
 GROUP_PIECES = 1 << 16
 # Word parts whose ids a Python worker remembers between batches; beyond them it starts anew.
-KNOWN_PARTS = 600_000
+KNOWN_PARTS = 300_000
 # The id that ends every document.
 END_ID = 0
 
@@ -128,7 +128,7 @@ def cut_pieces(documents: DataFrame, tokenizer_path: str, capacity: int, with_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(tokenizer_path)
-        for part in slices(batches, size=12 << 20):
+        for part in slices(batches, size=6 << 20):
             ids, bounds = tokenizer.encode(part.column(1))
             columns: list[list] = [[], [], [], [], []]
             row, pieces = [], []
