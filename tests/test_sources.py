@@ -104,7 +104,10 @@ def test_capture_files_of_all_kinds(spark, tmp_path):
 
 def test_truncated_and_foreign_files(spark, tmp_path):
     (tmp_path / "cut.pcap").write_bytes(pcap([(10**9, b"a" * 30), (2 * 10**9, b"b" * 30)], cut=5))
-    assert [bytes(r["frame"]) for r in capture.read_captures(spark, str(tmp_path)).collect()] == [b"a" * 30]
+    with pytest.raises(PySparkException, match="damaged capture file"):
+        capture.read_captures(spark, str(tmp_path)).collect()
+    marked = capture.read_captures(spark, str(tmp_path), damaged="mark").orderBy("packet_no").collect()
+    assert [r["frame"] and bytes(r["frame"]) for r in marked] == [b"a" * 30, None]
     (tmp_path / "foreign.pcap").write_bytes(b"not a capture file at all, really")
     with pytest.raises(PySparkException, match="not a capture file"):
         capture.read_captures(spark, str(tmp_path)).collect()
