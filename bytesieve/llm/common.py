@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -51,6 +52,11 @@ def byte_parts(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)), offsets
 
 
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """64-bit hash of each whole word, the same in every task; its time follows the bytes, however long a word is."""
+    return pd.util.hash_array(np.array(words.to_pylist(), dtype=object), categorize=False)
+
+
 class Words:
     """Lower-cased (A-Z) words of texts, split at ASCII white space, as codes of a dictionary.
 

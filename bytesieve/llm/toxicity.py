@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytesieve.llm.common import Words, byte_parts, fold, slices, text_or_empty
+from bytesieve.llm.common import Words, fold, slices, text_or_empty, word_hashes
 
 # Confirmed toxic and unlabelled texts that are learned from, at most; chosen by a hash of the id.
 SAMPLE_ROWS = 12_000
@@ -32,14 +32,8 @@ def word_columns(words: pa.Array) -> np.ndarray:
     Signs and digits count as nothing, so ``word``, ``word,`` and ``*word*`` are one column.
     """
     letters = pc.replace_substring_regex(words, r"[^a-z\x{80}-\x{10FFFF}]+", "")
-    data, offsets = byte_parts(letters)
-    sizes = np.diff(offsets)
-    hashed = np.full(len(sizes), 0xCBF29CE484222325, dtype=np.uint64)
-    for i in range(int(sizes.max(initial=0))):
-        more = np.flatnonzero(sizes > i)
-        hashed[more] = (hashed[more] ^ data[offsets[:-1][more] + i]) * np.uint64(0x100000001B3)
-    columns = ((hashed ^ (hashed >> np.uint64(29))) & np.uint64((1 << HASH_BITS) - 1)).astype(np.int64)
-    columns[sizes == 0] = -1
+    columns = (word_hashes(letters) & np.uint64((1 << HASH_BITS) - 1)).astype(np.int64)
+    columns[pc.equal(letters, "").to_numpy(zero_copy_only=False)] = -1
     return columns
 
 
