@@ -126,6 +126,16 @@ def empty_flows(packets: DataFrame) -> DataFrame:
     )
 
 
+def empty_buffers(packets: DataFrame) -> DataFrame:
+    """Packets (flow, packet_no) after which their flow has not carried a payload byte yet."""
+    narrow = packets.select(*FLOW, "packet_no", F.coalesce(F.length("payload") > 0, F.lit(False)).alias("_filled"))
+    first = materialize(
+        narrow.where("_filled").groupBy(*FLOW).agg(F.min("packet_no").alias("_first")), "first-filled"
+    )
+    asked = lookup_join(narrow.where("NOT _filled"), first, list(FLOW), spread_by=F.col("packet_no"))
+    return asked.where(F.col("_first").isNull() | (F.col("packet_no") < F.col("_first"))).select(*FLOW, "packet_no")
+
+
 def first_messages(buffers: DataFrame) -> DataFrame:
     """Head of the first HTTP message of each flow, whatever the size of its chunks (three bytes at least).
 

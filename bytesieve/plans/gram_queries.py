@@ -36,6 +36,12 @@ def _tier_counts(spark: SparkSession, sf_dir: str, n: int = N) -> DataFrame:
     return counts.count_grams(payloads(spark, sf_dir), n, by=("tier",))
 
 
+def _split_tiers(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Gram counts of each tier, all from one pass over the texts."""
+    tiered = materialize(_tier_counts(spark, sf_dir), "tier-counts")
+    return {tier: tiered.where(F.col("tier") == tier).select("gram", "cnt") for tier in ("gold", "bad", "normal")}
+
+
 def _stepped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order.stepped_windows(texts(spark, sf_dir), N, ["doc_id"])
 
@@ -110,6 +116,24 @@ def hash_slots(spark, sf_dir):
     )
 
 
+@query(f"{COUNTS} SELECT seed_no, grams, true AS in_range, true AS even, true AS balanced "
+       f"FROM (SELECT count(*) AS grams FROM counts), (SELECT unnest(range({HASHES}))::INTEGER AS seed_no)")
+def hash_slot_bounds(spark, sf_dir):
+    """Per seed all slots in range, spread evenly, with as many signs of either kind, within six deviations."""
+    grams, mean = F.col("grams"), F.col("grams") / 100
+    by_seed = hash_slots(spark, sf_dir).groupBy("seed_no").agg(
+        F.sum("grams").alias("grams"), F.sum("sign_sum").alias("sign_sum"), F.max("grams").alias("fullest"),
+        F.min("part").alias("least"), F.max("part").alias("greatest"),
+    )
+    return by_seed.select(
+        "seed_no",
+        "grams",
+        ((F.col("least") >= 0) & (F.col("greatest") < 100)).alias("in_range"),
+        (F.col("fullest") <= mean * 1.01 + 6 * F.sqrt(mean)).alias("even"),
+        (F.abs("sign_sum") <= 6 * F.sqrt(grams)).alias("balanced"),
+    )
+
+
 @query(
     f"""{WINS} SELECT doc_id, count(*) AS wins, CAST(sum(i) AS BIGINT) AS offset_sum,
       min(gram_hex) AS least_gram, max(gram_hex) AS greatest_gram FROM wins GROUP BY doc_id"""
@@ -382,6 +406,48 @@ def heavy_hitter_sketch(spark, sf_dir):
     return counts.heavy_hitters(wins, 100, tracked=100_000, by=("tier",))
 
 
+TRACKED = 100_000
+
+
+@query(
+    f"""{TIER_COUNTS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY tier ORDER BY cnt DESC, gram_hex) AS place,
+      7 * sum(cnt) OVER (PARTITION BY tier) AS slack FROM counts),
+    last AS (SELECT tier, cnt AS least FROM ranked WHERE place = 100),
+    clear AS (SELECT tier, count(*) AS clear FROM ranked JOIN last USING (tier)
+      WHERE (cnt - least) * {TRACKED} > slack GROUP BY tier)
+    SELECT tier, clear, clear AS found, true AS within_bound FROM clear"""
+)
+def heavy_hitter_bounds(spark, sf_dir):
+    """Grams clearly among the hundred most frequent are found, and counts are off by no more than stated."""
+    tiered = materialize(_tier_counts(spark, sf_dir), "tier-counts")
+    wins = windows(payloads(spark, sf_dir), N, keep=("tier",))
+    sketch = materialize(counts.heavy_hitters(wins, 100, tracked=TRACKED, by=("tier",)), "heavy-hitters")
+    named = sketch.select("tier", F.unhex("gram_hex").alias("gram"), F.col("cnt").alias("estimate"))
+    totals = tiered.groupBy("tier").agg(F.sum("cnt").alias("wins"))
+    tops = [topk.top_grams(tiered.where(F.col("tier") == t), 100) for t in ("gold", "bad", "normal")]
+    top = tops[0].unionByName(tops[1]).unionByName(tops[2])
+    # 300 rows on one side of each join; the error of one count is 3.5 * windows / tracked at most.
+    last = top.groupBy("tier").agg(F.min("cnt").alias("least"))
+    clear = top.join(last, "tier").join(totals, "tier").where(
+        (F.col("cnt") - F.col("least")) * TRACKED > 7 * F.col("wins")
+    )
+    found = clear.join(named, ["tier", "gram"], "left").groupBy("tier").agg(
+        F.count("*").alias("clear"), F.count("estimate").alias("found")
+    )
+    off = F.abs(F.col("estimate") - F.col("cnt")) * TRACKED * 2 <= 7 * F.col("wins")
+    # 300 reported grams are broadcast; an inner join, and a gram that was never counted is missing from ``seen``.
+    reported = named.groupBy("tier").agg(F.count("*").alias("reported"))
+    checked = (
+        tiered.join(F.broadcast(named), ["tier", "gram"])
+        .join(totals, "tier")
+        .groupBy("tier")
+        .agg(F.count("*").alias("seen"), F.every(off).alias("close"))
+        .join(reported, "tier")
+        .select("tier", (F.col("close") & (F.col("seen") == F.col("reported"))).alias("within_bound"))
+    )
+    return found.join(checked, "tier")
+
+
 @query()
 def signed_frequency_sketch(spark, sf_dir):
     """Estimates of the signed-counter sketch beside exact counts."""
@@ -391,16 +457,26 @@ def signed_frequency_sketch(spark, sf_dir):
     return exact.join(estimates, "gram").select(gram_hex(), "cnt", "estimate")
 
 
+@query(f"{COUNTS} SELECT count(*) AS grams, true AS mostly_near FROM counts")
+def signed_sketch_bounds(spark, sf_dir):
+    """At least 99 % of all estimates lie within four deviations of a counter from the exact count."""
+    exact = materialize(_counts(spark, sf_dir), "counts")
+    sketch = materialize(counts.signed_sketch(exact, SLOTS), "signed-sketch")
+    compared = exact.join(counts.estimate_signed(exact, sketch, SLOTS), "gram")
+    # The square deviation of one counter is the sum of all squared counts over the slots.
+    squares = exact.agg((F.sum(F.col("cnt").cast("double") ** 2) / SLOTS).alias("variance"))
+    near = (F.col("estimate") - F.col("cnt")) ** 2 <= 16 * F.col("variance")
+    return compared.crossJoin(F.broadcast(squares)).agg(
+        F.count("*").alias("grams"), (F.count_if(near) >= F.count("*") * 0.99).alias("mostly_near")
+    )
+
+
 @query(
     f"""{TIER_COUNTS} SELECT gram_hex, least(CAST(sum(cnt) AS BIGINT), 65535) AS cnt FROM counts GROUP BY gram_hex"""
 )
 def merged_counts(spark, sf_dir):
     """Count tables of the three tiers added up under a 16-bit ceiling."""
-    every = payloads(spark, sf_dir)
-    tables = [
-        counts.count_grams(every.where(F.col("tier") == tier), N) for tier in ("gold", "bad", "normal")
-    ]
-    return counts.merge_counts(*tables, ceiling=65_535).select(gram_hex(), "cnt")
+    return counts.merge_counts(*_split_tiers(spark, sf_dir).values(), ceiling=65_535).select(gram_hex(), "cnt")
 
 
 @query()
@@ -410,6 +486,14 @@ def distinct_estimate(spark, sf_dir):
     return counts.merge_distinct(counts.distinct_sketch(wins, ("tier",)))
 
 
+@query(f"{COUNTS} SELECT count(*) AS grams, true AS near FROM counts")
+def distinct_bounds(spark, sf_dir):
+    """The estimate from merged sketches is within 3 % of the exact number."""
+    exact = _counts(spark, sf_dir).agg(F.count("*").alias("grams"))
+    near = F.abs(F.col("distinct_grams") - F.col("grams")) <= F.col("grams") * 0.03
+    return exact.crossJoin(distinct_estimate(spark, sf_dir)).select("grams", near.alias("near"))
+
+
 @query(f"{tiers()} SELECT gram_hex, cnt FROM gold")
 def gold_vocabulary(spark, sf_dir):
     """V1: gold grams and counts."""
@@ -500,6 +584,13 @@ def bloom_fill(spark, sf_dir):
     return forecast.join(built, "tier")
 
 
+@query(f"{TIER_COUNTS} SELECT tier, count(*) AS grams, true AS near FROM counts GROUP BY tier")
+def bloom_fill_bounds(spark, sf_dir):
+    """Bits set in each tier's filter are within 1 % of the forecast."""
+    near = F.abs(F.col("bits_set") - F.col("expected_bits")) <= F.col("expected_bits") * 0.01
+    return bloom_fill(spark, sf_dir).select("tier", "grams", near.alias("near"))
+
+
 @query(
     f"""{TIER_COUNTS} SELECT count(*) AS members, count(*) AS found FROM counts WHERE tier = 'gold'"""
 )
@@ -527,6 +618,30 @@ def bloom_probe(spark, sf_dir):
     return exact.groupBy("member", "maybe").agg(F.count("*").alias("grams"))
 
 
+@query(
+    f"""{TIER_COUNTS}, asked AS (SELECT n.gram_hex, g.gram_hex IS NOT NULL AS member FROM
+      (SELECT gram_hex FROM counts WHERE tier = 'normal') n LEFT JOIN
+      (SELECT gram_hex FROM counts WHERE tier = 'gold') g ON n.gram_hex = g.gram_hex)
+    SELECT count(*) FILTER (member) AS members, 0::BIGINT AS missed, count(*) FILTER (NOT member) AS others,
+      true AS few_false FROM asked"""
+)
+def bloom_probe_bounds(spark, sf_dir):
+    """No member is missed, and other grams are found no more often than the fill lets expect."""
+    split = _split_tiers(spark, sf_dir)
+    bits = 1_000_003
+    bitmaps = materialize(bloom.build_bloom(split["gold"], HASHES, bits), "gold-filter")
+    members = split["gold"].select("gram", F.lit(True).alias("member"))
+    asked = bloom.probe_bloom(split["normal"], bitmaps, HASHES, bits).join(members, "gram", "left")
+    member = F.coalesce("member", F.lit(False))
+    found = asked.agg(
+        F.count_if(member).alias("members"), F.count_if(member & ~F.col("maybe")).alias("missed"),
+        F.count_if(~member).alias("others"), F.count_if(~member & F.col("maybe")).alias("false"),
+    )
+    expected = F.col("others") * F.pow(F.col("bits_set") / bits, F.lit(float(HASHES)))
+    few = F.col("false") <= expected * 1.1 + 6 * F.sqrt(expected) + 6
+    return found.crossJoin(bloom.bits_set(bitmaps)).select("members", "missed", "others", few.alias("few_false"))
+
+
 @query(
     f"""{WINS} SELECT (SELECT count(*) FROM payloads) AS packets, count(*) AS ngrams,
       count(DISTINCT gram_hex) AS distinct_grams, count(*) - count(DISTINCT gram_hex) AS repeats,
@@ -556,6 +671,20 @@ def bloom_false_positives(spark, sf_dir):
     )
 
 
+@query(f"{COUNTS} SELECT count(*) AS distinct_grams, true AS near FROM counts")
+def bloom_false_positive_bounds(spark, sf_dir):
+    """Grams refused while the filter fills are near the sum of fill ** k over all adds."""
+    parts, bits = 1000, 1_000_003
+    n, found = F.col("distinct_grams"), F.col("add_no")
+    # The sum over all adds in a thousand equal parts, each at its middle.
+    middle = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: (i + 0.5) * n / parts)
+    chance = F.transform(middle, lambda added: F.pow(1 - sizing.zero_bit_share(F.lit(bits), added, F.lit(HASHES)), F.lit(float(HASHES))))
+    expected = F.aggregate(chance, F.lit(0.0), lambda a, b: a + b) * n / parts
+    counted = bloom_false_positives(spark, sf_dir).select("distinct_grams", "add_no", expected.alias("_expected"))
+    near = F.abs(found - F.col("_expected")) <= F.col("_expected") * 0.05 + 6 * F.sqrt("_expected") + 6
+    return counted.select("distinct_grams", near.alias("near"))
+
+
 # --- order ------------------------------------------------------------------------------
 
 CAPACITY = 20_000
@@ -648,21 +777,17 @@ def top_overlap(spark, sf_dir):
     EXCEPT SELECT gram_hex FROM counts WHERE tier = 'normal'""")
 def gram_difference(spark, sf_dir):
     """Gold grams that normal lacks."""
-    every = payloads(spark, sf_dir)
-    gold = counts.count_grams(every.where(F.col("tier") == "gold"), N)
-    normal = counts.count_grams(every.where(F.col("tier") == "normal"), N)
-    return topk.gram_difference(gold, normal).select(gram_hex())
+    split = _split_tiers(spark, sf_dir)
+    return topk.gram_difference(split["gold"], split["normal"]).select(gram_hex())
 
 
 @query(f"{WINS} SELECT DISTINCT gram_hex FROM wins")
 def gram_union(spark, sf_dir):
     """Union of the three tiers' vocabularies."""
-    every = payloads(spark, sf_dir)
-    tables = [counts.count_grams(every.where(F.col("tier") == t), N) for t in ("gold", "bad", "normal")]
-    return vocabulary.union_grams(*tables).select(gram_hex())
+    return vocabulary.union_grams(*_split_tiers(spark, sf_dir).values()).select(gram_hex())
 
 
-@query()
+@query("SELECT CAST(ceil(2000003 / 32768) AS BIGINT) AS buckets, CAST(ceil(2000003 / 32768) AS BIGINT) AS equal_buckets")
 def bloom_union(spark, sf_dir):
     """The union of per-tier filters equals the filter of all grams."""
     tiered = materialize(_tier_counts(spark, sf_dir), "tier-counts")

@@ -137,6 +137,16 @@ def empty_flows(spark, sf_dir):
     return flows.empty_flows(_tcp(spark, sf_dir))
 
 
+@query(
+    f"""{DECODED_SQL}, carried AS (SELECT *, sum(length(payload_hex)) OVER (PARTITION BY src, dst, sport, dport
+      ORDER BY packet_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS digits FROM decoded WHERE proto = 6)
+    SELECT src, dst, sport, dport, packet_no FROM carried WHERE digits = 0"""
+)
+def empty_buffers(spark, sf_dir):
+    """packets after which the buffer of their flow is still empty."""
+    return flows.empty_buffers(_tcp(spark, sf_dir))
+
+
 @query(
     f"""{DECODED_SQL}, listed AS (SELECT DISTINCT src, dst, sport, dport FROM packets WHERE packet_no < 5)
     SELECT d.packet_no FROM decoded d WHERE d.proto = 6 AND NOT EXISTS (SELECT 1 FROM listed l

@@ -257,3 +257,12 @@ def test_one_grammar_for_buffers_and_streams_cut_anywhere(spark, message, kind):
         cutter = MessageCutter(cutter.state())
         found += cutter.feed(message[cut:])
         assert [m[0] for m in found] == ([kind] if kind else []), cut
+
+
+def test_buffers_stay_empty_until_the_first_payload(spark):
+    rows = [
+        ("a", "b", 1, 2, 0, b""), ("a", "b", 1, 2, 3, None), ("a", "b", 1, 2, 5, b"x"), ("a", "b", 1, 2, 7, b""),
+        ("b", "a", 2, 1, 4, b""), ("c", "a", 2, 1, 6, b"y"),
+    ]
+    packets = spark.createDataFrame(rows, "src string, dst string, sport int, dport int, packet_no long, payload binary")
+    assert sorted(r["packet_no"] for r in flows.empty_buffers(packets).collect()) == [0, 3, 4]

@@ -52,7 +52,7 @@ def test_sketches_and_filters_stay_in_bounds(without_sql, spark):
         assert row["bits_set"] == pytest.approx(row["expected_bits"], rel=0.01)
     probed = {(r["member"], r["maybe"]): r["grams"] for r in without_sql["bloom_probe"]}
     assert (True, False) not in probed
-    union = without_sql["bloom_union"][0]
+    union = QUERIES["bloom_union"](spark, SF_DIR).first()
     assert union["buckets"] == union["equal_buckets"]
     slots = without_sql["hash_slots"]
     assert sum(r["grams"] for r in slots) == 8 * exact
