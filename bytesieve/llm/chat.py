@@ -1,11 +1,13 @@
 """Chat formatting with Spark expressions only.
 
-Turns of a conversation are collected and sorted as structs, neighbours of one role are merged by an
-array aggregation, and the messages are concatenated to one training text.
+Turns of a conversation are collected and sorted as structs, neighbours of one role are merged by aggregating
+the runs of the sorted array, and the messages are concatenated to one training text.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,14 +34,28 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, UNESCAPE_PATTERN, "$1$2$3")
 
 
-def _merge(messages: Column, turn: Column) -> Column:
-    last = F.element_at(messages, -1)
-    part = F.struct(turn["role"].alias("role"), F.array(turn["text"]).alias("parts"))
-    longer = F.struct(last["role"].alias("role"), F.concat(last["parts"], F.array(turn["text"])).alias("parts"))
-    return F.when(
-        (F.size(messages) > 0) & (F.try_element_at(messages, F.lit(-1))["role"] == turn["role"]),
-        F.concat(F.slice(messages, F.lit(1), F.size(messages) - 1), F.array(longer)),
-    ).otherwise(F.concat(messages, F.array(part)))
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` reads it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _merge(turns: Column) -> Column:
+    """Messages (role, parts) of sorted turns: one per run of neighbours with one role.
+
+    The places where runs begin are filtered out first and each run is cut out of the turns, so the work grows with
+    the number of turns; an aggregation that appends to its list would copy the list at every turn.
+    """
+
+    def begins(i: Column) -> Column:
+        return (i == 0) | (F.get(turns, i)["role"] != F.get(turns, i - 1)["role"])
+
+    def message(starts: Column, start: Column, i: Column) -> Column:
+        size = F.coalesce(F.get(starts, i + 1), F.size(turns)) - start
+        texts = F.transform(F.slice(turns, start + 1, size), lambda turn: turn["text"])
+        return F.struct(F.get(turns, start)["role"].alias("role"), texts.alias("parts"))
+
+    starts = F.filter(F.sequence(F.lit(0), F.size(turns) - 1), begins)
+    return _bound(starts, lambda found: F.transform(found, lambda start, i: message(found, start, i)))
 
 
 def _pieces(message: Column) -> Column:
@@ -79,8 +95,7 @@ def format_chats(conversations: DataFrame) -> DataFrame:
         rows.where("conv_id IS NOT NULL").groupBy("conv_id").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
     )
     alone = rows.where("conv_id IS NULL").select("conv_id", F.array("turn").alias("turns"))
-    empty = F.expr("CAST(array() AS array<struct<role:string,parts:array<string>>>)")
-    messages = F.aggregate("turns", empty, _merge)
+    messages = _merge(F.col("turns"))
     pieces = F.flatten(F.transform("messages", _pieces))
     text = F.array_join(F.transform("pieces", lambda p: p["text"]), "")
     return (

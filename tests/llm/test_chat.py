@@ -45,6 +45,18 @@ def test_neighbours_of_one_role_merge_and_ties_are_sorted(spark):
     assert [r["conv_id"] for k, r in got.items() if len(k) == 1] == [None, None]
 
 
+def test_long_conversation(spark):
+    """Each turn is visited a fixed number of times: 30,000 turns would take minutes if lists were copied at each."""
+    role = F.when(F.col("id") % 3 < 2, "user").otherwise("assistant")
+    rows = spark.range(30_000).select(
+        F.lit(1).alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.format_string("t%d ", "id").alias("text")
+    )
+    row = formatted(rows).select("t", "loss", F.transform("messages", lambda m: F.size(m["parts"])).alias("sizes")).first()
+    assert row["sizes"] == [2, 1] * 10_000
+    assert [t["text"] for t in row["t"]] == [f"t{i} " for i in range(30_000)]
+    assert row["loss"] == "".join(f"t{i} " for i in range(2, 30_000, 3))
+
+
 def test_empty_table(spark):
     assert formatted(spark.createDataFrame([], SCHEMA)).collect() == []
 
