@@ -196,7 +196,8 @@ def train(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROW
     """Learn from labelled documents outside fold 0, at most ``sample_rows`` of them.
 
     A document whose label rows differ counts by the larger; null labels and ids are ignored, and so are labels of
-    documents that are not there. Only the sample's ids and numbers per text reach the driver.
+    documents that are not there. Of several rows with one id the lowest numbers count, so only one row per chosen id
+    reaches the driver.
     """
     known = (
         labels.where("doc_id IS NOT NULL AND quality IS NOT NULL")
@@ -219,7 +220,8 @@ def train(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROW
     described = chosen.select("doc_id", "text", "label").mapInArrow(
         run, "doc_id long, label int, values array<double>"
     )
-    rows = sorted((r["doc_id"], r["label"], r["values"]) for r in described.collect())
+    one_each = described.groupBy("doc_id", "label").agg(F.min("values").alias("values"))
+    rows = sorted((r["doc_id"], r["label"], r["values"]) for r in one_each.collect())
     return fit(
         np.array([r[2] for r in rows], dtype=np.float64).reshape(-1, len(FEATURES)),
         np.array([r[1] for r in rows], dtype=np.float64),

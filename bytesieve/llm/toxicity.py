@@ -123,7 +123,8 @@ def train(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROW
     """Learn from documents outside fold 0: confirmed toxic ones, and a sample of all as unlabelled.
 
     Each sample has at most ``sample_rows`` rows. The prior is the share of toxic ones among labelled rows. A document
-    with different label rows counts by the larger; null labels and ids are ignored.
+    with different label rows counts by the larger; null labels and ids are ignored. Of several rows with one id the
+    lowest list of words counts, so only one row per chosen id and sample reaches the driver.
     """
     labelled = (
         labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL")
@@ -156,7 +157,8 @@ def train(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROW
         .select("doc_id", "positive", "text")
         .mapInArrow(run, "doc_id long, positive boolean, columns array<int>")
     )
-    rows = described.toArrow().sort_by([("doc_id", "ascending"), ("positive", "ascending")]).combine_chunks()
+    one_each = described.groupBy("doc_id", "positive").agg(F.min("columns").alias("columns"))
+    rows = one_each.toArrow().sort_by([("doc_id", "ascending"), ("positive", "ascending")]).combine_chunks()
     lists = rows["columns"].combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
     sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
