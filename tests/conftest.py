@@ -33,7 +33,3 @@ def payload_table(spark):
         return spark.createDataFrame(rows, "doc_id long, tier string, payload binary")
 
     return make
-
-
-def gram_dict(df, value="cnt"):
-    return {bytes(row["gram"]): row[value] for row in df.collect()}

@@ -3,7 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from conftest import gram_dict
+from helpers import gram_dict
 from pyspark.sql import functions as F
 
 from bytesieve.functions.codec import windows

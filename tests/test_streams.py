@@ -3,7 +3,7 @@ import random
 import time
 from collections import Counter
 
-from conftest import gram_dict
+from helpers import gram_dict
 from pyspark.sql import functions as F
 
 from bytesieve.streaming import ingest, packets

@@ -2,7 +2,7 @@ import random
 from collections import Counter
 
 import pytest
-from conftest import gram_dict
+from helpers import gram_dict
 from pyspark.sql import functions as F
 
 from bytesieve.operators import counts, vocabulary
