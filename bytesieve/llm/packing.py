@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -20,6 +22,11 @@ GROUP_PIECES = 1 << 16
 KNOWN_PARTS = 300_000
 # The id that ends every document.
 END_ID = 0
+# Byte-level signs: printable Latin-1 bytes stand for themselves, the others, in order, for the signs from 256 on.
+BYTE_SIGNS = {
+    byte: 256 + i
+    for i, byte in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))
+}
 
 
 def _gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -33,7 +40,7 @@ def _gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarr
 class WordTokenizer:
     """Token ids of texts through a tokenizer that never joins text across white space.
 
-    Every different word of a batch is tokenised once. A word is cut further between an ASCII letter
+    Every different word of a batch is tokenised once. A word is cut further between a letter
     and ASCII punctuation behind it, where the pre-tokenizer cuts too, so ``end``, ``end.`` and ``end,`` share
     their letters; ids of such parts are kept in a bounded store.
     """
@@ -42,8 +49,6 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        self.ends_word[[i for name, i in self.tokenizer.get_vocab().items() if name.endswith("</w>")]] = True
         self._forget()
 
     def _forget(self) -> None:
@@ -53,24 +58,28 @@ class WordTokenizer:
     def _learn(self, parts: list[str]) -> None:
         """Store the ids of new parts.
 
-        They are encoded in runs joined by a space. Parts of ASCII letters are one word each and end where an id
-        ends a word; the others are told apart by the offsets of their ids.
+        Composed lower-case words of letters pass the normalizer and the pre-tokenizer as one word, so their bytes go
+        to the model itself. The others are encoded in runs joined by a space and told apart by the offsets of their ids.
         """
-        letters = [part for part in parts if part.isascii() and part.isalpha()]
-        others = [part for part in parts if not (part.isascii() and part.isalpha())]
-        flats, sizes = [self.flat], []
-        for names, plain in ((letters, True), (others, False)):
-            for start in range(0, len(names), 2000):
-                run = names[start : start + 2000]
-                encoding = self.tokenizer.encode(" ".join(run), add_special_tokens=False)
-                ids = np.array(encoding.ids, dtype=np.uint32)
-                if plain:
-                    sizes.append(np.diff(np.flatnonzero(self.ends_word[ids]), prepend=-1))
-                else:
-                    ends = np.cumsum([len(part) + 1 for part in run])
-                    first = np.fromiter((o[0] for o in encoding.offsets), dtype=np.int64, count=len(ids))
-                    sizes.append(np.bincount(np.searchsorted(ends, first, side="right"), minlength=len(run)))
-                flats.append(ids)
+        letters, others = [], []
+        for part in parts:
+            plain = part.isalpha() and (part.isascii() or unicodedata.is_normalized("NFC", part))
+            (letters if plain and part == part.lower() else others).append(part)
+        tokenize, signs = self.tokenizer.model.tokenize, BYTE_SIGNS
+        coded = [
+            [token.id for token in tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(signs))]
+            for part in letters
+        ]
+        flats = [self.flat, np.fromiter(itertools.chain.from_iterable(coded), dtype=np.uint32)]
+        sizes = [np.fromiter(map(len, coded), dtype=np.int64, count=len(coded))]
+        for start in range(0, len(others), 2000):
+            run = others[start : start + 2000]
+            encoding = self.tokenizer.encode(" ".join(run), add_special_tokens=False)
+            ids = np.array(encoding.ids, dtype=np.uint32)
+            ends = np.cumsum([len(part) + 1 for part in run])
+            first = np.fromiter((o[0] for o in encoding.offsets), dtype=np.int64, count=len(ids))
+            sizes.append(np.bincount(np.searchsorted(ends, first, side="right"), minlength=len(run)))
+            flats.append(ids)
         if parts:
             names = letters + others
             self.known.update(zip(names, range(len(self.known), len(self.known) + len(names)), strict=True))
@@ -85,11 +94,11 @@ class WordTokenizer:
         # Case folding saves words; strings of special tokens must keep their case.
         folded = pc.if_else(pc.match_substring(words, "<|"), words, pc.ascii_lower(words)).dictionary_encode()
         unique: pa.Array = folded.dictionary
-        cut = pc.extract_regex(unique, r"^(?P<head>[a-z]+)(?P<tail>[!-/:-@\[-`{-~].*)$")
+        cut = pc.extract_regex(unique, r"^(?P<head>\p{L}+)(?P<tail>[!-/:-@\[-`{-~].*)$")
         heads = pc.if_else(cut.is_valid(), pc.struct_field(cut, "head"), unique)
         tails = pc.if_else(cut.is_valid(), pc.struct_field(cut, "tail"), "")
         both = pa.concat_arrays([heads, tails]).dictionary_encode()
-        names = both.dictionary.to_pylist()
+        names = both.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.known) > KNOWN_PARTS:
             self._forget()
         self._learn([name for name in names if name not in self.known])
