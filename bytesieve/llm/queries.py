@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytesieve.llm import chat, embeddings, lm, mixing, packing, quality, secrets, simhash, syncmers, toxicity
+from bytesieve.llm import (
+    chat, embeddings, lm, mixing, packing, periodic, quality, repair, secrets, shortest_pack, simhash, syncmers, toxicity,
+)
 from bytesieve.llm.common import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -219,3 +221,45 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc.doc_id", "mix.epoch", "mix.domain", F.coalesce("doc.lang", F.lit("")).alias("lang"),
         F.coalesce("doc.source", F.lit("")).alias("source"), "mix.tokens", "mix.quota",
     )
+
+
+@query()
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of every document, every tenth made periodic first, and the text without their repeats."""
+    number = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", number.alias("number"))
+    found = periodic.periodic_runs(documents, draw="number")
+    # The greatest exact exponent; neighbours are compared by cross multiplication, so that nothing is rounded.
+    best = F.aggregate(
+        "runs",
+        F.lit(None).cast("struct<start: long, length: long, period: long>"),
+        lambda best, run: F.when(
+            best.isNull() | (run["length"] * best["period"] > best["length"] * run["period"]), run
+        ).otherwise(best),
+    )
+    lines = F.transform("runs", lambda run: F.concat(F.concat_ws(",", run["start"], run["length"], run["period"]), F.lit("\n")))
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@query()
+def op12_shortest_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into full sequences of 4096 tokens, the rest into powers of two."""
+    return shortest_pack.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query()
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and repaired turns of every conversation after drawn damage."""
+    repaired = repair.repair(repair.damaged(table(spark, sf_dir, "conversations")))
+    turns = F.transform("repaired", lambda turn: F.concat(turn["role"], F.lit(":"), turn["text"]))
+    return repaired.select(
+        "conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit",
+        F.sha2(F.array_join(turns, "\n"), 256).alias("repaired_sha256"),
+    )
