@@ -204,6 +204,8 @@ def train(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROW
         .where(fold() != 0)
         .groupBy("doc_id")
         .agg(F.max(F.col("quality").cast("int")).alias("label"))
+        # Before the limit: labels of other documents must not use it up.
+        .join(documents.select("doc_id"), "doc_id", "left_semi")
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(sample_rows)
     )
@@ -229,7 +231,7 @@ def train(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROW
 
 
 def score(documents: DataFrame, model: Additive) -> DataFrame:
-    """(doc_id, score) of every document's whole text; null counts as empty.
+    """(doc_id, score) of every document's whole text, however long; null counts as empty.
 
     Repeated rows give repeated results, a null doc_id stays null, other columns are ignored.
     """

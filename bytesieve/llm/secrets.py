@@ -8,7 +8,9 @@ in the dictionary and add little; random keys add nearly their own length.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +43,10 @@ IDENTIFIERS = (
 # Bytes behind a sensitive word that are searched, and the shortest string measured.
 REACH = 64
 SHORTEST = 16
-# Bytes before and after a candidate that prime the dictionary.
+# Bytes of a block of text; a candidate's block and its two neighbours prime the dictionary.
 AROUND = 2048
+# Bytes from which a candidate is measured by a quicker level of compression.
+LONG = 4096
 # Least share of its own length that a candidate must add to be reported.
 NOVELTY = 0.88
 
@@ -64,9 +68,9 @@ def base_spans(raw: bytes, low: bytes) -> list[Span]:
     return found
 
 
-def _mixed(candidate: bytes) -> bool:
+def _mixed(raw: bytes, start: int, end: int) -> bool:
     """Letters and digits both, as in keys; words and plain numbers are not."""
-    return bool(_DIGIT.search(candidate) and _LETTER.search(candidate))
+    return bool(_DIGIT.search(raw, start, end) and _LETTER.search(raw, start, end))
 
 
 class Novelty:
@@ -77,31 +81,79 @@ class Novelty:
 
         self.zstd = zstandard
         self.identifiers = identifiers.encode()
-        self.params = zstandard.ZstdCompressionParameters.from_level(
-            19, write_checksum=False, write_content_size=False, write_dict_id=False
-        )
-
-    def share(self, candidate: bytes, around: bytes) -> float:
-        """Bytes that ``candidate`` adds to an empty frame, as a share of its own bytes (at most 1)."""
+        self.params = [
+            zstandard.ZstdCompressionParameters.from_level(
+                level, write_checksum=False, write_content_size=False, write_dict_id=False
+            )
+            for level in (19, 3)
+        ]
+
+    def measure(self, around: bytes):
+        """The share of its own bytes (at most 1) that a string adds to an empty frame primed with ``around``.
+
+        Strings beyond ``LONG`` are measured by a quick level, so that one of megabytes takes milliseconds a megabyte.
+        """
         primed = self.zstd.ZstdCompressionDict(self.identifiers + around, dict_type=self.zstd.DICT_TYPE_RAWCONTENT)
-        compressor = self.zstd.ZstdCompressor(dict_data=primed, compression_params=self.params)
-        return min(1.0, (len(compressor.compress(candidate)) - len(compressor.compress(b""))) / len(candidate))
+        primed.precompute_compress(compression_params=self.params[0])
+        close = self.zstd.ZstdCompressor(dict_data=primed, compression_params=self.params[0])
+        nothing = len(close.compress(b""))
+
+        def share(candidate: bytes) -> float:
+            compressor, empty = close, nothing
+            if len(candidate) > LONG:
+                plain = self.zstd.ZstdCompressionDict(self.identifiers + around, dict_type=self.zstd.DICT_TYPE_RAWCONTENT)
+                compressor = self.zstd.ZstdCompressor(dict_data=plain, compression_params=self.params[1])
+                empty = len(compressor.compress(b""))
+            return min(1.0, (len(compressor.compress(candidate)) - empty) / len(candidate))
+
+        return share
+
+
+def candidates(raw: bytes, low: bytes, taken: list[Span]) -> list[tuple[int, int, int]]:
+    """(first start, last start, end) of the strings to be measured, by place; they do not overlap.
+
+    A maximal run of key characters is measured from the first sensitive word it stands behind, and if that is not novel,
+    from the last one within it. Starts that would overlap a span of ``taken`` or have no letters and digits fall away.
+    """
+    words = [word.end() for word in _SENSITIVE.finditer(low)]
+    ordered = sorted((start, end) for _, start, end in taken)
+    starts = [start for start, _ in ordered]
+    reached = list(accumulate((end for _, end in ordered), max))
+    found = []
+    for run in _CANDIDATE.finditer(raw):
+        begin, end = run.span()
+        first, behind = bisect_left(words, begin - REACH), bisect_right(words, end - SHORTEST)
+        if first >= behind:
+            continue
+        before = bisect_left(starts, end)
+        free = max(begin, reached[before - 1] if before else 0)
+        tried = [start for start in (max(begin, words[first]), max(begin, words[behind - 1])) if start >= free]
+        tried = [start for start in tried if _mixed(raw, start, end)]
+        if tried:
+            found.append((tried[0], tried[-1], end))
+    return found
 
 
 def novel_spans(raw: bytes, low: bytes, taken: list[Span], novelty: Novelty, least: float) -> list[Span]:
-    """Incompressible strings behind sensitive words, outside the spans ``taken``."""
-    found: dict[tuple[int, int], None] = {}
-    for word in _SENSITIVE.finditer(low):
-        for near in _CANDIDATE.finditer(raw, word.end(), word.end() + REACH + SHORTEST):
-            match = _CANDIDATE.match(raw, near.start())
-            start, end = match.span()
-            if (start, end) in found or any(a < end and start < b for _, a, b in taken) or not _mixed(match[0]):
-                continue
-            around = raw[max(0, start - AROUND) : start] + raw[end : end + AROUND]
-            # A secret repeated near by must not explain itself.
-            if novelty.share(match[0], around.replace(match[0], b" ")) >= least:
-                found[start, end] = None
-    return [("novel", start, end) for start, end in found]
+    """Incompressible strings behind sensitive words, outside the spans ``taken``, each run of characters once.
+
+    The text around is that of the ``AROUND`` bytes in which the string begins and of those before and behind them, without
+    any string that is measured: a secret repeated near by must not explain itself. Time is in proportion to the bytes.
+    """
+    measured = candidates(raw, low, taken)
+    others = bytearray(raw)
+    for start, _, end in measured:
+        others[start:end] = b" " * (end - start)
+    found, block, share = [], -1, None
+    for first, last, end in measured:
+        if first // AROUND != block:
+            block = first // AROUND
+            share = novelty.measure(bytes(others[max(0, (block - 1) * AROUND) : (block + 2) * AROUND]))
+        for start in (first, last) if last > first else (first,):
+            if share(raw[start:end]) >= least:
+                found.append(("novel", start, end))
+                break
+    return found
 
 
 def secret_spans(raw: bytes, novelty: Novelty, least: float = NOVELTY) -> list[Span]:
@@ -128,8 +180,8 @@ SPAN_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("
 def find_secrets(documents: DataFrame, least: float = NOVELTY, identifiers: str = IDENTIFIERS) -> DataFrame:
     """(doc_id, spans) of every document; spans are (kind, start, end) in code points, end exclusive.
 
-    Null and empty texts have no spans. Repeated rows give repeated results, a null doc_id stays null, other
-    columns are ignored, an empty table gives no rows.
+    Null and empty texts have no spans. Very long texts are scanned whole, in time in proportion to their bytes. Repeated
+    rows give repeated results, a null doc_id stays null, other columns are ignored, an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -201,16 +201,21 @@ def near_duplicates(documents: DataFrame, size: int = SHINGLE_WORDS, radius: int
 def keep_first(documents: DataFrame, size: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest id, with all columns.
 
-    Of several rows with that id the first in the order of all their columns stays. Rows without id stay.
+    Of several rows with that id one stays, the least by a hash of all its columns. Rows without id stay.
     """
+    kept_id = "_kept_id"
+    while kept_id in documents.columns:
+        kept_id = f"_{kept_id}"
     found = near_duplicates(documents, size, radius).where("doc_id IS NOT NULL")
     kept = materialize(
         found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_copies")), "simhash-kept"
     )
     # Hashed at every size: the ids grow with the input, and texts need not be sorted.
-    ids = kept.select(F.col("doc_id").alias("_kept_id")).hint("shuffle_hash")
-    stay = documents.join(ids, F.col("doc_id") == F.col("_kept_id"), "left_semi")
+    ids = kept.select(F.col("doc_id").alias(kept_id)).hint("shuffle_hash")
+    stay = documents.join(ids, F.col("doc_id") == F.col(kept_id), "left_semi")
     if not kept.where("_copies > 1").isEmpty():
+        # Columns of any type can be hashed as JSON, also those that have no order.
         whole = F.struct(*documents.columns)
-        stay = stay.groupBy("doc_id").agg(F.min(whole).alias("_row")).select("_row.*").select(*documents.columns)
+        first = F.min_by(whole, F.sha2(F.to_json(whole), 256))
+        stay = stay.groupBy("doc_id").agg(first.alias("_row")).select("_row.*").select(*documents.columns)
     return stay.unionByName(documents.where("doc_id IS NULL"))

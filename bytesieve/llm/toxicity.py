@@ -123,7 +123,7 @@ def train(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROW
     """Learn from documents outside fold 0: confirmed toxic ones, and a sample of all as unlabelled.
 
     Each sample has at most ``sample_rows`` rows. The prior is the share of toxic ones among labelled rows. A document
-    with different label rows counts by the larger; null labels and ids are ignored. Of several rows with one id the
+    with different label rows counts by the larger; null labels and ids and labels of absent documents are ignored. Of several rows with one id the
     lowest list of words counts, so only one row per chosen id and sample reaches the driver.
     """
     labelled = (
@@ -131,6 +131,8 @@ def train(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROW
         .where(fold() != 0)
         .groupBy("doc_id")
         .agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+        # Before the prior and the sample: labels of other documents count for neither.
+        .join(documents.select("doc_id"), "doc_id", "left_semi")
     )
     count, toxic = labelled.agg(F.count("*"), F.sum("toxic")).first()
     prior = ((toxic or 0) + 0.5) / ((count or 0) + 1)
@@ -171,7 +173,7 @@ def train(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROW
 
 
 def score(documents: DataFrame, detector: Detector) -> DataFrame:
-    """(doc_id, score) of every document's whole text; null counts as empty.
+    """(doc_id, score) of every document's whole text, however long; null counts as empty.
 
     Repeated rows give repeated results, a null doc_id stays null, other columns are ignored.
     """

@@ -1,4 +1,9 @@
+import random
 import re
+import string
+import time
+
+import pytest
 
 from bytesieve.llm import secrets
 
@@ -52,6 +57,95 @@ def test_novelty_reports_keys_behind_sensitive_words_only():
     assert [s[0] for s in spans(f"token={key}")] == ["assign"]
 
 
+@pytest.mark.parametrize("size", [500_000, 2_000_000])
+def test_hostile_texts_take_time_in_proportion(size):
+    rng = random.Random(2)
+    letters = string.ascii_letters + string.digits
+    texts = [
+        b"token1" * (size // 6),
+        b"".join(b"token k%05dA%011d " % (i % 99_999, i) for i in range(size // 25)),
+        b"secret " + "".join(rng.choices(letters, k=size)).encode(),
+        b"password=abcdef1 " * (size // 17),
+    ]
+    novelty = secrets.Novelty()
+    for text in texts:
+        began = time.perf_counter()
+        secrets.secret_spans(text, novelty)
+        assert time.perf_counter() - began < 2 * max(1, size / 1_000_000)
+
+
+def plain_novel(text, least=secrets.NOVELTY):
+    """Novel spans as stated, position by position, for ASCII texts; every string is primed and compressed anew."""
+    import zstandard
+
+    taken = [range(a, b) for _, a, b in plain_spans(text)]
+    ends = [m.end() for m in re.finditer("|".join(map(re.escape, secrets.SENSITIVE_WORDS)), text.lower())]
+    tried = []
+    for run in re.finditer(r"[A-Za-z0-9+/_=~$!@%^&*-]{16,}", text):
+        near = [max(run.start(), e) for e in ends if run.start() - 64 <= e <= run.end() - 16]
+        good = [
+            a for a in near[:1] + near[-1:]
+            if not any(a < t.stop and t.start < run.end() for t in taken)
+            and re.search("[0-9]", text[a : run.end()]) and re.search("[A-Za-z]", text[a : run.end()])
+        ]
+        if good:
+            tried.append((good[0], good[-1], run.end()))
+    others = list(text)
+    for a, _, b in tried:
+        others[a:b] = " " * (b - a)
+    level = zstandard.ZstdCompressionParameters.from_level(19, write_checksum=False, write_content_size=False, write_dict_id=False)
+    found = []
+    for a, last, b in tried:
+        block = a // 2048
+        primed = secrets.IDENTIFIERS + "".join(others[max(0, (block - 1) * 2048) : (block + 2) * 2048])
+        data = zstandard.ZstdCompressionDict(primed.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        size = lambda x: len(zstandard.ZstdCompressor(dict_data=data, compression_params=level).compress(x.encode()))  # noqa: E731, B023
+        for start in dict.fromkeys((a, last)):
+            if min(1.0, (size(text[start:b]) - size("")) / (b - start)) >= least:
+                found.append(("novel", start, b))
+                break
+    return found
+
+
+def planted_texts(rng):
+    """Prose with keys behind sensitive words, where no base pattern looks, and with identifiers that are no keys."""
+    letters = string.ascii_letters + string.digits
+    words = ["".join(rng.choices(string.ascii_lowercase, k=rng.randrange(2, 9))) for _ in range(80)]
+    for i in range(300):
+        text, keys = [], []
+        for _ in range(rng.randrange(1, 6)):
+            text += rng.choices(words, k=rng.randrange(5, 40))
+            kind = rng.randrange(4)
+            if kind == 0:
+                keys.append("".join(rng.choices(letters, k=rng.randrange(28, 60))) + "7x")
+                text += [rng.choice(["Authorization Bearer", "my passphrase is", "signature of", "credential"]), keys[-1]]
+            elif kind == 1:
+                text += ["token", "access_token2client_secret1refresh_token"]
+            elif kind == 2:
+                text += ["picture", "".join(rng.choices(letters, k=40)) + "5y"] if i % 3 else ["secret", "0123456789abcdefghijklmnopqrstuvwxyz"]
+        yield " ".join(text), keys
+
+
+def test_novelty_equals_plain_code_and_finds_planted_keys():
+    rng = random.Random(11)
+    novelty = secrets.Novelty()
+    keys = found = false = 0
+    for text, planted in planted_texts(rng):
+        spans = [span for span in secrets.secret_spans(text.encode(), novelty) if span[0] == "novel"]
+        assert spans == plain_novel(text), text
+        assert all(a[2] <= b[1] for a, b in zip(spans, spans[1:], strict=False))
+        marked = {text[a:b] for _, a, b in spans}
+        keys, found = keys + len(planted), found + sum(any(key in m for m in marked) for key in planted)
+        false += sum("client_secret" in m or "ijklmnop" in m for m in marked)
+    assert keys > 150 and found >= 0.95 * keys and false == 0
+
+
+def test_a_run_behind_two_words_is_reported_once():
+    key = "Zk3vQ9xT1LmB7rYc5WdH8nPfUa2Gs6Je"
+    spans = secrets.secret_spans(f"bearer token9{key} end".encode(), secrets.Novelty())
+    assert [s for s in spans if s[0] == "novel"] == [("novel", 7, 45)]
+
+
 def test_redaction():
     spans = [("assign", 2, 8), ("hex", 4, 10), ("hex", 12, 14)]
     assert secrets.redacted("ab345678901234567", spans, "#") == "ab#12#567"
