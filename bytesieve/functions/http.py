@@ -19,6 +19,9 @@ _BLANK_LINE = "\r\n\r\n"
 _REQUEST = r"^(" + "|".join(METHODS) + r") +(\S+)(?: +HTTP\S*)? *\r\n"
 _RESPONSE = r"^HTTP/\d\.\d +(\d{3})[^\r\n]*\r\n"
 _ANNOUNCED = r"(?i)\r\ncontent-length: *(\d{1,18})\s*\r\n"
+# The same for a single header line, and the line that announces chunks.
+_LENGTH = r"(?i)content-length: *(\d{1,18})\s*\r\n$"
+_CHUNKED = r"(?i)transfer-encoding:(?:.*,)?[ \t]*chunked\s*\r\n$"
 
 
 def message_heads(df: DataFrame, data: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -60,72 +63,159 @@ def message_heads(df: DataFrame, data: str, keep: tuple[str, ...] = ()) -> DataF
     return fields.select(F.inline(F.when(known, F.array(message))))
 
 
-def _read_head(head: bytes) -> tuple[tuple, int] | None:
-    """(kind, method, uri, status) and announced body bytes of a whole head, None if foreign."""
-    text = head.decode("latin-1")
-    announced = re.search(_ANNOUNCED, text, re.ASCII)
-    body = int(announced[1]) if announced else 0
-    if text.startswith("HTTP"):
-        found = re.match(_RESPONSE, text, re.ASCII)
-        return (("response", None, None, int(found[1])), body) if found else None
-    found = re.match(_REQUEST, text, re.ASCII)
-    return (("request", found[1], found[2], None), body) if found else None
-
-
-def _may_start(data: bytes) -> bool:
-    """Whether bytes without a whole head can still grow into a message."""
-    word, blank, _ = data.decode("latin-1").partition(" ")
+def _may_start(line: bytes) -> bool:
+    """Whether an unfinished first line can still grow into one of a message."""
+    word, blank, _ = line.decode("latin-1").partition(" ")
     if word.startswith("HTTP"):
         return re.match(r"^HTTP(/(\d(\.(\d)?)?)?)?$", word, re.ASCII) is not None
-    return word in METHODS if blank else any(start.startswith(word) for start in (*METHODS, "HTTP"))
+    return word in METHODS if blank else any(start.startswith(word) for start in (*METHODS, "HTTP", "\r\n"))
+
+
+# What a cutter waits for: a first line, header lines, body bytes, or the parts of a chunked body.
+FIRST, HEAD, BODY, CHUNK_SIZE, CHUNK, CHUNK_END, TRAILER = range(7)
 
 
 class MessageCutter:
     """Takes a flow's bytes as they come and gives each HTTP message once it is whole.
 
-    Holds only an unfinished head; of a body just the number of bytes still due. Bytes that
-    can never become a message end the flow: the head stays foreign whatever follows it.
-    """
-
-    FIELDS = "head binary, due long, kind string, method string, uri string, status int, size long, foreign boolean"
+    Nothing is held but the line that is being read and a few numbers: of header lines the first ``LINE_KEPT`` bytes, of
+    bodies only how many bytes are due. So time is in proportion to the bytes, however they are cut into packets.
+    Bodies end at their announced length or with their last chunk. Replies to HEAD and replies of status 1xx, 204 and 304
+    have none, whatever they announce. Empty lines before a message are skipped. Bytes that can never become a message end
+    the flow: it stays foreign, as it does behind an accepted CONNECT or upgrade, and all its further bytes are counted.
 
-    def __init__(self, state: tuple | None = None):
-        head, due, kind, method, uri, status, size, foreign = state or (
-            b"", 0, None, None, None, None, 0, False,
-        )
-        self.head, self.due, self.size, self.foreign = bytes(head), due, size, foreign
-        self.found = (kind, method, uri, status) if kind else None
+    ``asked`` lists the methods of requests that wait for their reply; both cutters of a conversation share it.
+    """
 
-    def state(self) -> tuple:
-        return (self.head, self.due, *(self.found or (None,) * 4), self.size, self.foreign)
+    # Bytes of a header line that are looked at, and of a first line that are waited for.
+    LINE_KEPT, LINE_MOST = 256, 1 << 20
+
+    def __init__(self, state: dict | None = None, asked: list[str] | None = None):
+        self.asked = [] if asked is None else asked
+        state = state or {}
+        self.stage: int = state.get("stage", FIRST)
+        self.line = bytearray(state.get("line", "").encode("latin-1"))
+        self.line_bytes: int = state.get("line_bytes", 0)
+        self.found: tuple | None = tuple(state["found"]) if state.get("found") else None
+        self.due: int = state.get("due", 0)
+        self.announced: int | None = state.get("announced")
+        self.chunked: bool = state.get("chunked", False)
+        self.size: int = state.get("size", 0)
+        self.foreign: bool = state.get("foreign", False)
+
+    def state(self) -> dict:
+        """Everything but ``asked``, as values that JSON can hold."""
+        names = ("stage", "line_bytes", "found", "due", "announced", "chunked", "size", "foreign")
+        return {name: getattr(self, name) for name in names} | {"line": self.line.decode("latin-1")}
+
+    def unfinished(self) -> int:
+        """Bytes taken of a message that is not whole yet."""
+        return 0 if self.foreign else self.size
 
     def feed(self, data: bytes) -> list[tuple]:
-        """Messages completed by ``data``: (kind, method, uri, status, bytes)."""
-        messages = []
-        while not self.foreign:
-            if self.found:
-                taken = min(self.due, len(data))
+        """Messages completed by ``data``: (kind, method, uri, status, bytes).
+
+        Bytes that belong to no message are one last entry of kind ``foreign``.
+        """
+        messages: list[tuple] = []
+        at, lost = 0, 0
+        while at < len(data) and not self.foreign:
+            if self.stage in (BODY, CHUNK):
+                taken = min(self.due, len(data) - at)
                 self.due -= taken
-                data = data[taken:]
-                if self.due:
-                    break
-                messages.append((*self.found, self.size))
-                self.found = None
-            self.head += data
-            data = b""
-            if not self.head:
-                break
-            end = self.head.find(b"\r\n\r\n")
-            if end < 0:
-                self.foreign = not _may_start(self.head)
-                break
-            parsed = _read_head(self.head[: end + 4])
-            if parsed is None:
-                self.foreign = True
-                break
-            self.found, self.due = parsed
-            self.size = end + 4 + self.due
-            data, self.head = self.head[end + 4 :], b""
+                self.size += taken
+                at += taken
+                if not self.due:
+                    self._body_part_ended(messages)
+                continue
+            end = data.find(b"\n", at)
+            piece = data[at : end + 1] if end >= 0 else data[at:]
+            at += len(piece)
+            self.size += len(piece)
+            self.line_bytes += len(piece)
+            ended = piece.endswith(b"\n") and (self.line + piece[-2:]).endswith(b"\r\n")
+            if self.stage == FIRST:
+                self.line += piece
+                looked_at = self.line_bytes - len(piece) > 64
+                if not ended and (self.line_bytes > self.LINE_MOST or not (looked_at or _may_start(bytes(self.line[:128])))):
+                    self.foreign = True
+            else:
+                # The last byte is kept too: a line may end between two packets.
+                whole = self.line + piece
+                self.line = whole if len(whole) <= self.LINE_KEPT else whole[: self.LINE_KEPT - 1] + whole[-1:]
+            if ended and not self.foreign:
+                line = self.line.decode("latin-1")
+                self.line, self.line_bytes = bytearray(), 0
+                self._line_ended(line, messages)
         if self.foreign:
-            self.head = b""
+            lost = self.size + len(data) - at
+            self.size, self.line, self.line_bytes, self.found = 0, bytearray(), 0, None
+        if lost:
+            messages.append(("foreign", None, None, None, lost))
         return messages
+
+    def _line_ended(self, line: str, messages: list[tuple]) -> None:
+        if self.stage == FIRST:
+            if line == "\r\n":
+                self.size = 0
+                return
+            request, response = re.match(_REQUEST, line, re.ASCII), re.match(_RESPONSE, line, re.ASCII)
+            if line.startswith("HTTP") and response:
+                self.found = ("response", None, None, int(response[1]))
+            elif request and not line.startswith("HTTP"):
+                self.found = ("request", request[1], request[2], None)
+            else:
+                self.foreign = True
+            self.stage, self.announced, self.chunked = HEAD, None, False
+        elif self.stage == HEAD:
+            if line == "\r\n":
+                self._head_ended(messages)
+                return
+            length = re.match(_LENGTH, line, re.ASCII)
+            if length and self.announced is None:
+                self.announced = int(length[1])
+            self.chunked = self.chunked or re.match(_CHUNKED, line, re.ASCII) is not None
+        elif self.stage == CHUNK_SIZE:
+            size = re.match(r"^ *([0-9A-Fa-f]{1,15})[ \t]*(?:;|\r\n)", line, re.ASCII)
+            if not size:
+                self.foreign = True
+                return
+            self.due = int(size[1], 16)
+            self.stage = CHUNK if self.due else TRAILER
+        elif self.stage == CHUNK_END:
+            self.foreign = line != "\r\n"
+            self.stage = CHUNK_SIZE
+        elif line == "\r\n":
+            self._finish(messages)
+
+    def _head_ended(self, messages: list[tuple]) -> None:
+        kind, method, _, status = self.found
+        tunnel = bare = False
+        if kind == "request":
+            self.asked.append(method)
+        else:
+            # An interim reply leaves its request waiting.
+            interim = status // 100 == 1 and status != 101
+            replied = "" if interim or not self.asked else self.asked.pop(0)
+            tunnel = status == 101 or (replied == "CONNECT" and status // 100 == 2)
+            bare = tunnel or replied == "HEAD" or status // 100 == 1 or status in (204, 304)
+        if bare:
+            self._finish(messages)
+            self.foreign = tunnel
+        elif self.chunked:
+            self.stage = CHUNK_SIZE
+        else:
+            self.due = self.announced or 0
+            self.stage = BODY
+            if not self.due:
+                self._finish(messages)
+
+    def _body_part_ended(self, messages: list[tuple]) -> None:
+        if self.stage == CHUNK:
+            self.stage = CHUNK_END
+        else:
+            self._finish(messages)
+
+    def _finish(self, messages: list[tuple]) -> None:
+        messages.append((*self.found, self.size))
+        self.stage, self.found, self.size = FIRST, None, 0

@@ -93,7 +93,7 @@ def count_statistics(counts: DataFrame, slots: int, by: tuple[str, ...] = ()) ->
 def heavy_hitters(
     grams: DataFrame, k: int, *, tracked: int = 10_000, by: tuple[str, ...] = ()
 ) -> DataFrame:
-    """The k most frequent grams by a bounded, mergeable sketch.
+    """The k most frequent grams by a bounded sketch (``heavy_sketch`` gives one that merges).
 
     ``tracked`` counters are kept per group; counts are exact while no more distinct
     grams than that occur, and otherwise off by at most 3.5 * windows / map size.
@@ -107,6 +107,24 @@ def heavy_hitters(
     )
 
 
+def heavy_sketch(grams: DataFrame, *, tracked: int = 10_000, by: tuple[str, ...] = ()) -> DataFrame:
+    """Frequent-gram sketch of ``tracked`` counters per group, to be stored and merged."""
+    return grams.groupBy(*by).agg(F.expr(f"approx_top_k_accumulate(lower(hex(gram)), {int(tracked)})").alias("sketch"))
+
+
+def merge_heavy(sketches: DataFrame, *, tracked: int = 10_000, by: tuple[str, ...] = ()) -> DataFrame:
+    """Sketches of runs, tiers or days combined into one per group; the error bounds of their windows add up."""
+    return sketches.groupBy(*by).agg(F.expr(f"approx_top_k_combine(sketch, {int(tracked)})").alias("sketch"))
+
+
+def heavy_from(sketches: DataFrame, k: int, *, by: tuple[str, ...] = ()) -> DataFrame:
+    """The k most frequent grams of each sketch with their estimated counts."""
+    top = F.expr(f"approx_top_k_estimate(sketch, {int(k)})")
+    return sketches.select(*by, F.explode(top).alias("_entry")).select(
+        *by, F.col("_entry.item").alias("gram_hex"), F.col("_entry.count").alias("cnt")
+    )
+
+
 def distinct_sketch(grams: DataFrame, by: tuple[str, ...] = (), lg_k: int = 14) -> DataFrame:
     """Mergeable distinct-count sketch of the grams, one row per group."""
     return grams.groupBy(*by).agg(F.hll_sketch_agg("gram", F.lit(lg_k)).alias("sketch"))

@@ -193,3 +193,15 @@ def generations(first: DataFrame, capacity: int, published: int = 0) -> DataFram
     return ranked.withColumn(
         "generation", (F.expr(f"(rank - 1) div {int(capacity)}") + published).cast("int")
     )
+
+
+def resumed_generations(first: DataFrame, published: DataFrame, filled: int, capacity: int) -> DataFrame:
+    """Generations of the grams of ``first`` that are not ``published``, going on where ``filled`` grams have been added.
+
+    The open generation is filled up before the next one begins, so runs over consecutive parts give what one run over
+    all of them gives. ``published`` is a stored table of distinct grams, ``filled`` their number.
+    """
+    known = published.select("gram", F.lit(True).alias("_known"))
+    new = first.join(known, "gram", "left").where(F.col("_known").isNull()).drop("_known") if filled else first
+    ranked = global_rank(new, ["step"])
+    return ranked.withColumn("generation", F.expr(f"(rank - 1 + {int(filled)}) div {int(capacity)}").cast("int"))

@@ -328,8 +328,8 @@ def gram_lookup(spark, sf_dir):
 
 
 @query(
-    f"""{TIER_COUNTS} SELECT gram_hex FROM counts WHERE tier = 'normal'
-      AND gram_hex IN (SELECT gram_hex FROM counts WHERE tier IN ('gold', 'bad'))"""
+    f"""{WINS} SELECT gram_hex FROM wins GROUP BY gram_hex
+    HAVING bool_or(tier = 'normal') AND bool_or(tier <> 'normal')"""
 )
 def known_grams(spark, sf_dir):
     """Normal grams that the gold or the bad generation already holds."""
@@ -409,19 +409,16 @@ def heavy_hitter_sketch(spark, sf_dir):
 TRACKED = 100_000
 
 
-@query(
-    f"""{TIER_COUNTS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY tier ORDER BY cnt DESC, gram_hex) AS place,
+HEAVY_SQL = f"""{TIER_COUNTS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY tier ORDER BY cnt DESC, gram_hex) AS place,
       7 * sum(cnt) OVER (PARTITION BY tier) AS slack FROM counts),
     last AS (SELECT tier, cnt AS least FROM ranked WHERE place = 100),
     clear AS (SELECT tier, count(*) AS clear FROM ranked JOIN last USING (tier)
       WHERE (cnt - least) * {TRACKED} > slack GROUP BY tier)
     SELECT tier, clear, clear AS found, true AS within_bound FROM clear"""
-)
-def heavy_hitter_bounds(spark, sf_dir):
-    """Grams clearly among the hundred most frequent are found, and counts are off by no more than stated."""
-    tiered = materialize(_tier_counts(spark, sf_dir), "tier-counts")
-    wins = windows(payloads(spark, sf_dir), N, keep=("tier",))
-    sketch = materialize(counts.heavy_hitters(wins, 100, tracked=TRACKED, by=("tier",)), "heavy-hitters")
+
+
+def _heavy_within_bounds(sketch, tiered):
+    """Per tier: grams clearly among the hundred most frequent, those found, and whether all counts are near enough."""
     named = sketch.select("tier", F.unhex("gram_hex").alias("gram"), F.col("cnt").alias("estimate"))
     totals = tiered.groupBy("tier").agg(F.sum("cnt").alias("wins"))
     tops = [topk.top_grams(tiered.where(F.col("tier") == t), 100) for t in ("gold", "bad", "normal")]
@@ -448,6 +445,26 @@ def heavy_hitter_bounds(spark, sf_dir):
     return found.join(checked, "tier")
 
 
+@query(HEAVY_SQL)
+def heavy_hitter_bounds(spark, sf_dir):
+    """Grams clearly among the hundred most frequent are found, and counts are off by no more than stated."""
+    tiered = materialize(_tier_counts(spark, sf_dir), "tier-counts")
+    wins = windows(payloads(spark, sf_dir), N, keep=("tier",))
+    sketch = materialize(counts.heavy_hitters(wins, 100, tracked=TRACKED, by=("tier",)), "heavy-hitters")
+    return _heavy_within_bounds(sketch, tiered)
+
+
+@query(HEAVY_SQL)
+def merged_heavy_hitters_bounds(spark, sf_dir):
+    """The same for sketches that were stored per tier and source and combined per tier."""
+    tiered = materialize(_tier_counts(spark, sf_dir), "tier-counts")
+    wins = windows(payloads(spark, sf_dir), N, keep=("tier", "source"))
+    stored = materialize(counts.heavy_sketch(wins, tracked=TRACKED, by=("tier", "source")), "heavy-sketches")
+    merged = materialize(counts.merge_heavy(stored, tracked=TRACKED, by=("tier",)), "merged-sketches")
+    sketch = materialize(counts.heavy_from(merged, 100, by=("tier",)), "heavy-hitters")
+    return _heavy_within_bounds(sketch, tiered)
+
+
 @query()
 def signed_frequency_sketch(spark, sf_dir):
     """Estimates of the signed-counter sketch beside exact counts."""
@@ -700,6 +717,25 @@ def filter_generations(spark, sf_dir):
     return vocabulary.generations(first, CAPACITY).select(gram_hex(), "step", "generation")
 
 
+@query(
+    f"""{STEPPED}, firsts AS (SELECT gram_hex, min(step) AS step FROM stepped GROUP BY gram_hex)
+    SELECT gram_hex, CAST((row_number() OVER (ORDER BY step) - 1) // {CAPACITY} AS INTEGER) AS generation FROM firsts"""
+)
+def resumed_generations(spark, sf_dir):
+    """Filter generations of three runs over thirds of the payloads; each refills the generation left open."""
+    all_texts = texts(spark, sf_dir)
+    bounds = all_texts.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
+    step = (bounds["high"] - bounds["low"]) // 3 + 1 if bounds["low"] is not None else 1
+    third = F.expr(f"(doc_id - {bounds['low'] or 0}) div {step}")
+    published = materialize(spark.createDataFrame([], "gram binary, generation int"), "published")
+    for run in range(3):
+        first = vocabulary.first_steps(order.stepped_windows(all_texts.where(third == run), N, ["doc_id"]))
+        new = vocabulary.resumed_generations(first, published, published.count(), CAPACITY)
+        new = materialize(new.select("gram", "generation"), "generations")
+        published = published.unionByName(new)
+    return published.select(gram_hex(), "generation")
+
+
 @query(
     f"""{STEPPED}, ranked AS (SELECT gram_hex, step, row_number() OVER (PARTITION BY gram_hex ORDER BY step) AS sighting FROM stepped),
     added AS (SELECT (step - 1) // 10000 AS bucket, count(*) FILTER (sighting = 1) AS tmp, count(*) FILTER (sighting = 2) AS ok

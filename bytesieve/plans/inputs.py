@@ -79,6 +79,11 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ethernet frames of the packets; every 50th is no IPv4, short ones are padded."""
+    return framed(packets(spark, sf_dir))
+
+
+def framed(packets: DataFrame) -> DataFrame:
+    """Ethernet frames of ``packets``; those numbered 49 modulo 50 by ``event_no``, else ``packet_no``, are no IPv4."""
 
     def word(value: Column, digits: int) -> Column:
         return F.lpad(F.lower(F.hex(value.cast("long"))), digits, "0")
@@ -87,6 +92,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.concat_ws("", F.transform(F.split(text, r"\."), lambda part: word(part, 2)))
 
     no = F.col("packet_no")
+    event = F.col("event_no" if "event_no" in packets.columns else "packet_no")
     size = F.length("payload")
     is_tcp = F.col("proto") == 6
     l4 = F.when(
@@ -100,7 +106,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     whole = F.concat(
         F.lit("020000000002020000000001"),
-        F.when(no % 50 == 49, F.lit("86dd")).otherwise(F.lit("0800")),
+        F.when(event % 50 == 49, F.lit("86dd")).otherwise(F.lit("0800")),
         F.lit("4500"),
         word(size + F.when(is_tcp, 40).otherwise(28), 4),
         word(no % 65536, 4),
@@ -114,7 +120,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     padded = F.when(F.length(whole) < 120, F.rpad(whole, 120, "0")).otherwise(whole)
     return fence(
-        packets(spark, sf_dir),
+        packets,
         "packet_no",
         "ts",
         (F.unix_micros("ts") * 1000).alias("ts_ns"),

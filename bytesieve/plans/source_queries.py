@@ -10,15 +10,16 @@ from pyspark.sql import functions as F
 
 from bytesieve.functions.codec import hex_encode
 from bytesieve.functions.headers import FLOW, PROTO_TCP, PROTO_UDP, only_protocol, parse_frames
-from bytesieve.operators import bloom, counts, flows, order, vocabulary
+from bytesieve.operators import bloom, counts, flows, order, training, vocabulary
 from bytesieve.operators.counts import gram_hex
 from bytesieve.plans.gram_queries import CAPACITY, COUNTS, HASHES, N, STEPPED, TIER_COUNTS
+from bytesieve.plans import inputs
 from bytesieve.plans.inputs import documents, frames, hex_payloads, payloads, texts
 from bytesieve.plans.packet_queries import DECODED_SQL, FRAMES_SQL, STREAMS_SQL
 from bytesieve.plans.registry import query
-from bytesieve.plans.sql_parts import PAYLOADS
+from bytesieve.plans.sql_parts import PAYLOADS, tiers
 from bytesieve.session import materialize, scratch_path
-from bytesieve.sources import capture, tables
+from bytesieve.sources import capture, runs, tables
 from bytesieve.sources import payloads as lines
 from bytesieve.streaming import ingest
 from bytesieve.streaming import packets as packet_streams
@@ -85,6 +86,32 @@ def file_ingest_runs(spark, sf_dir):
         used = used.unionByName(taken)
 
 
+TIER_FILES, TIER_CAPACITY = 4, 20_000
+
+
+@query(
+    f"""{tiers(N)} SELECT 'gold' AS tier, gram_hex, cnt FROM gold UNION ALL SELECT 'bad', gram_hex, cnt FROM bad
+    UNION ALL SELECT 'normal', gram_hex, cnt FROM normal"""
+)
+def tier_runs(spark, sf_dir):
+    """Every tier trained in runs of a few files each, its parts added up.
+
+    The schedule starts runs until no file is left; each finds what to do in the last commit record.
+    """
+    folder, root = scratch_path(spark, "tier-files"), scratch_path(spark, "tier-state")
+    tiered = payloads(spark, sf_dir).select("tier", F.pmod("doc_id", F.lit(TIER_FILES)).alias("file"), F.lower(F.hex("payload")).alias("value"))
+    tiered.repartition("tier", "file").write.partitionBy("tier", "file").text(folder)
+    for tier in ("gold", "bad", "normal"):
+        while training.train_run(spark, root, tier, f"{folder}/tier={tier}/*", files=2, n=N, capacity=TIER_CAPACITY):
+            pass
+    state = runs.latest_state(spark, root)
+    trained = [
+        training.tier_counts(spark, root, state, tier).select(F.lit(tier).alias("tier"), gram_hex(), "cnt")
+        for tier in ("gold", "bad", "normal")
+    ]
+    return trained[0].unionByName(trained[1]).unionByName(trained[2])
+
+
 @query(
     """WITH split AS (SELECT encode(unnest(string_split(text, chr(10))) || chr(10)) AS line FROM documents)
     SELECT count(*) AS lines, CAST(sum(octet_length(line)) AS BIGINT) AS bytes,
@@ -251,29 +278,77 @@ def streamed_second_sightings(spark, sf_dir):
     return ingest.second_sighting_vocabulary(spark, deltas).select(gram_hex(), "cnt")
 
 
-@query(
-    f"""{DECODED_SQL} SELECT src, dst, sport, dport, packet_no,
-      CASE WHEN sport = 80 THEN 'response' ELSE 'request' END AS kind,
+_MESSAGES_SQL = """CASE WHEN sport = 80 THEN 'response' ELSE 'request' END AS kind,
       CASE WHEN dport = 80 THEN 'GET' END AS method, CASE WHEN dport = 80 THEN '/item/' || packet_no END AS uri,
-      CASE WHEN sport = 80 THEN 200 END AS status, CAST(length(payload_hex) // 2 AS BIGINT) AS message_bytes
+      CASE WHEN sport = 80 THEN 200 END AS status, CAST(length(payload_hex) // 2 AS BIGINT) AS message_bytes"""
+
+
+def _take_new(messages, out: str, state: str) -> None:
+    messages.writeStream.format("parquet").outputMode("append").option("checkpointLocation", state).trigger(
+        availableNow=True
+    ).start(out).awaitTermination()
+
+
+def _halves(df, key: str):
+    """Rows below and from the middle between the least and the greatest key, as an early and a late delivery."""
+    middle = df.agg(((F.min(key) + F.max(key)) / 2).alias("middle"))
+    with_middle = df.crossJoin(F.broadcast(middle))
+    for early in (True, False):
+        side = F.col(key) < F.col("middle")
+        yield with_middle.where(side if early else ~side).drop("middle")
+
+
+@query(
+    f"""{DECODED_SQL} SELECT src, dst, sport, dport, packet_no, {_MESSAGES_SQL}
     FROM decoded WHERE proto = 6 AND 80 IN (sport, dport)"""
 )
 def streamed_messages(spark, sf_dir):
-    """H3: HTTP messages cut from flow buffers kept as stream state."""
-    source, out = scratch_path(spark, "packets"), scratch_path(spark, "messages")
-    tcp = only_protocol(parse_frames(frames(spark, sf_dir)), PROTO_TCP)
-    tcp.select("packet_no", "ts", *FLOW, "payload").repartitionByRange(4, "packet_no").write.parquet(source)
+    """H3: HTTP messages of conversations kept as stream state, and rows of lost bytes, of which there are none."""
+    source, out, state = (scratch_path(spark, name) for name in ("packets", "messages", "messages-state"))
     session = ingest.state_session(spark)
-    stream = (
-        session.readStream.schema(spark.read.parquet(source).schema)
-        .option("maxFilesPerTrigger", 2)
-        .parquet(source)
+    tcp = only_protocol(parse_frames(frames(spark, sf_dir)), PROTO_TCP)
+    for delivery in _halves(tcp.select("packet_no", "ts", *FLOW, "payload"), "packet_no"):
+        delivery.repartitionByRange(4, "packet_no").write.mode("append").parquet(source)
+        stream = session.readStream.schema(delivery.schema).parquet(source)
+        # Packets in order of their numbers, whose times run to and fro: no pause ends a flow.
+        messages = packet_streams.flow_messages(stream, idle_seconds=400 * 86_400)
+        _take_new(messages.where("kind <> 'foreign'").drop("ts_us", "path"), out, state)
+    return spark.read.schema(packet_streams.MESSAGE_SCHEMA).parquet(out).drop("ts_us", "path")
+
+
+def _cut_frames(spark, sf_dir):
+    """TCP frames of port 80 in order of time, each message cut into two frames within its head."""
+    packets = inputs.packets(spark, sf_dir).where("proto = 6 AND 80 IN (sport, dport) AND packet_no % 50 <> 49")
+    at = 1 + F.col("packet_no") % 17
+    payload = F.col("payload")
+    parts = F.array(
+        F.struct(F.lit(0).alias("part"), F.substring(payload, 1, at.cast("int")).alias("payload")),
+        F.struct(F.lit(1).alias("part"), F.substring(payload, (at + 1).cast("int"), F.length(payload)).alias("payload")),
     )
-    messages = packet_streams.flow_messages(stream, late="400 days")
-    messages.writeStream.format("parquet").outputMode("append").option(
-        "checkpointLocation", scratch_path(spark, "messages-state")
-    ).trigger(availableNow=True).start(out).awaitTermination()
-    return spark.read.schema(packet_streams.MESSAGE_SCHEMA).parquet(out)
+    kept = [name for name in packets.columns if name != "payload"]
+    cut = packets.select(*kept, F.col("packet_no").alias("event_no"), F.inline(parts))
+    ranked = order.global_rank(cut.withColumn("ts_us", F.unix_micros("ts")), ["ts_us", "event_no", "part"])
+    return inputs.framed(ranked.withColumn("packet_no", F.col("rank")))
+
+
+@query(
+    f"""{DECODED_SQL} SELECT src, dst, sport, dport, ts_us, {_MESSAGES_SQL}
+    FROM decoded WHERE proto = 6 AND 80 IN (sport, dport)"""
+)
+def streamed_capture_messages(spark, sf_dir):
+    """Messages over packets and rotated capture files, two deliveries of several files each.
+
+    Every message lies in two packets. Late, freed and foreign bytes would be rows of their own; there are none.
+    """
+    folder, out, state = (scratch_path(spark, name) for name in ("rotating", "messages", "messages-state"))
+    session = ingest.state_session(spark)
+    captured = materialize(_cut_frames(spark, sf_dir), "cut-frames")
+    for run, (delivery, files) in enumerate(zip(_halves(captured, "packet_no"), (3, 2), strict=True)):
+        capture.write_captures(delivery, f"{folder}/{run}", files=files)
+        parsed = parse_frames(packet_streams.frame_stream(session, f"{folder}/*"))
+        messages = packet_streams.flow_messages(only_protocol(parsed, PROTO_TCP), idle_seconds=400 * 86_400)
+        _take_new(messages.drop("path", "packet_no"), out, state)
+    return spark.read.schema(packet_streams.MESSAGE_SCHEMA).parquet(out).drop("path", "packet_no")
 
 
 @query(

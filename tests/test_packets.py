@@ -1,5 +1,6 @@
 import random
 import struct
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -137,10 +138,64 @@ def test_cutter_gives_the_same_messages_for_any_cut():
 
 
 @pytest.mark.parametrize("data", [b'{"k": 1}', b"GETX / HTTP/1.1\r\n\r\n", b"GET\r\n\r\n", b"HTTP/1.1 abc\r\n\r\n"])
-def test_cutter_drops_foreign_flows(data):
+def test_cutter_counts_the_bytes_of_foreign_flows(data):
     cutter = MessageCutter()
-    assert cutter.feed(data) == [] and cutter.foreign and cutter.head == b""
-    assert cutter.feed(b"GET / HTTP/1.1\r\n\r\n") == []
+    assert cutter.feed(data) == [("foreign", None, None, None, len(data))] and cutter.foreign and not cutter.line
+    assert cutter.feed(b"GET / HTTP/1.1\r\n\r\n") == [("foreign", None, None, None, 18)]
+
+
+OK = b"HTTP/1.1 200 OK\r\n"
+# (method asked, its reply)
+REPLIES = [
+    ("GET", OK + b"Content-Length: 3\r\n\r\nabc"),
+    ("HEAD", OK + b"Content-Length: 3\r\n\r\n"),
+    ("GET", b"HTTP/1.1 304 Not Modified\r\nContent-Length: 10\r\n\r\n"),
+    ("GET", b"HTTP/1.1 204 No Content\r\ncontent-length: 9\r\n\r\n"),
+    ("GET", OK + b"Transfer-Encoding: chunked\r\n\r\n3\r\nabc\r\n0b;x=1\r\nhello world\r\n0\r\nT: 1\r\n\r\n"),
+    ("GET", OK + b"Transfer-Encoding: gzip, chunked\r\nContent-Length: 2\r\n\r\n0\r\n\r\n"),
+    ("GET", b"\r\n\r\n" + OK + b"\r\n"),
+    ("GET", OK + b"X: " + b"y" * 5000 + b"\r\nContent-Length: 1\r\n\r\nz"),
+]
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 64, 1 << 20])
+def test_replies_end_where_their_request_and_head_say(size):
+    """Every reply, followed by all the others and by a plain one, cut into packets of any size."""
+    replies = [REPLIES[i] for i in (0, 1, 2, 3, 4, 5, 6, 7, 2, 1, 4, 0)]
+    asked = [method for method, _ in replies]
+    cutter, found = MessageCutter(None, asked), []
+    stream = b"".join(reply for _, reply in replies)
+    for at in range(0, len(stream), size):
+        found += cutter.feed(stream[at : at + size])
+        cutter = MessageCutter(cutter.state(), asked)
+    assert [m[4] for m in found] == [len(reply.lstrip(b"\r\n")) for _, reply in replies] and {m[0] for m in found} == {"response"}
+    assert not asked and cutter.unfinished() == 0
+
+
+def test_interim_replies_and_tunnels():
+    asked = ["POST", "CONNECT"]
+    cutter = MessageCutter(None, asked)
+    assert [m[3] for m in cutter.feed(b"HTTP/1.1 100 Continue\r\n\r\n" + OK + b"Content-Length: 1\r\n\r\nx")] == [100, 200]
+    assert asked == ["CONNECT"]
+    found = cutter.feed(OK + b"\r\n\x16\x03tls")
+    assert [m[0] for m in found] == ["response", "foreign"] and found[1][4] == 5
+
+
+def test_long_heads_take_time_in_proportion():
+    head = b"GET / HTTP/1.1\r\n" + b"".join(b"X-%d: %s\r\n" % (i, b"v" * 90) for i in range(12_000)) + b"\r\n"
+    cutter, found, began, kept = MessageCutter(), [], time.perf_counter(), 0
+    for at in range(0, len(head), 60):
+        found += cutter.feed(head[at : at + 60])
+        cutter = MessageCutter(cutter.state())
+        kept = max(kept, len(cutter.line))
+    assert [m[4] for m in found] == [len(head)] and kept <= cutter.LINE_KEPT
+    assert time.perf_counter() - began < 3
+
+
+def test_first_lines_without_end_are_foreign():
+    cutter = MessageCutter()
+    lost = sum(m[4] for _ in range(30) for m in cutter.feed((b"GET /" if _ == 0 else b"") + b"a" * 100_000))
+    assert cutter.foreign and lost == 3_000_005
 
 
 PACKETS = "packet_no long, proto int, src string, dst string, sport int, dport int, payload binary"

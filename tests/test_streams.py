@@ -85,16 +85,19 @@ GET = b"GET /%d HTTP/1.1\r\nHost: h\r\n\r\n"
 
 
 def run_messages(spark, tmp_path, batches, **options):
-    """Feed each batch of (packet_no, second, client, payload) as one file and one trigger."""
+    """Feed each batch of (packet_no, second, client, payload[, path]) as one file and one trigger."""
     session = ingest.state_session(spark)
     folder, out = str(tmp_path / "packets"), str(tmp_path / "messages")
-    for number, rows in enumerate(batches):
-        table = [(n, s, f"10.0.0.{c}", "10.9.9.9", 1000, 80, bytearray(p)) for n, s, c, p in rows]
-        df = spark.createDataFrame(table, PACKETS.replace("ts timestamp", "ts long")).withColumn(
-            "ts", F.timestamp_seconds("ts")
-        )
+    schema = PACKETS + ", path string" * (len(batches[0][0]) > 4)
+    for rows in batches:
+        # A negative client is the reply to a client.
+        table = []
+        for n, second, client, payload, *path in rows:
+            ends = [(f"10.0.0.{abs(client)}", 1000), ("10.9.9.9", 80)][:: 1 if client > 0 else -1]
+            table.append((n, second, ends[0][0], ends[1][0], ends[0][1], ends[1][1], bytearray(payload), *path))
+        df = spark.createDataFrame(table, schema.replace("ts timestamp", "ts long")).withColumn("ts", F.timestamp_seconds("ts"))
         df.coalesce(1).write.mode("append").parquet(folder)
-        stream = session.readStream.schema(PACKETS).parquet(folder)
+        stream = session.readStream.schema(schema).parquet(folder)
         query = (
             packets.flow_messages(stream, **options)
             .writeStream.format("parquet")
@@ -105,7 +108,7 @@ def run_messages(spark, tmp_path, batches, **options):
         )
         query.awaitTermination()
     found = spark.read.schema(packets.MESSAGE_SCHEMA).parquet(out).collect()
-    return query, sorted((r["src"][-1], r["packet_no"], r["kind"], r["method"], r["uri"]) for r in found)
+    return sorted((r["src"][-1], r["packet_no"], r["kind"], r["uri"] or r["status"] or r["message_bytes"]) for r in found)
 
 
 def test_messages_across_batches(spark, tmp_path):
@@ -115,26 +118,68 @@ def test_messages_across_batches(spark, tmp_path):
         [(3, 105, 1, second[20:]), (2, 104, 1, second[10:20])],
         [(4, 106, 2, GET % 9), (5, 106, 1, GET % 3)],
     ]
-    _, found = run_messages(spark, tmp_path, batches)
-    assert found == [
-        ("1", 1, "request", "GET", "/1"),
-        ("1", 3, "request", "GET", "/2"),
-        ("1", 5, "request", "GET", "/3"),
+    assert run_messages(spark, tmp_path, batches) == [
+        ("1", 1, "request", "/1"),
+        ("1", 3, "request", "/2"),
+        ("1", 5, "request", "/3"),
+        ("2", 0, "foreign", 8),
+        ("2", 4, "foreign", len(GET % 9)),
+    ]
+
+
+def test_packets_of_several_files_have_one_order(spark, tmp_path):
+    """Numbers start anew in every file; time, then path, then number put the packets in order."""
+    one, two = GET % 1, GET % 2
+    batches = [
+        [(0, 107, 1, two[5:], "b.pcap"), (0, 100, 1, one[:9], "a.pcap"), (1, 100, 1, one[9:], "a.pcap"), (1, 106, 1, two[:5], "a2.pcap")],
+        [(0, 200, 1, GET % 3, "c.pcap"), (5, 107, 1, b"too late", "a.pcap"), (0, 300, 2, GET % 4, "c.pcap")],
+    ]
+    assert run_messages(spark, tmp_path, batches) == [
+        ("1", 0, "request", "/2"),
+        ("1", 0, "request", "/3"),
+        ("1", 1, "request", "/1"),
+        ("1", 5, "late", 8),
+        ("2", 0, "request", "/4"),
+    ]
+
+
+def test_replies_know_their_request(spark, tmp_path):
+    head = b"HTTP/1.1 200 OK\r\nContent-Length: 5\r\n\r\n"
+    batches = [
+        [(0, 1, 1, b"HEAD /a HTTP/1.1\r\n\r\n"), (1, 1, 1, GET % 7)],
+        [(2, 2, -1, head), (3, 3, -1, head + b"he")],
+        [(4, 4, -1, b"llo"), (5, 5, 1, GET % 8)],
+    ]
+    assert run_messages(spark, tmp_path, batches) == [
+        ("1", 0, "request", "/a"),
+        ("1", 1, "request", "/7"),
+        ("1", 5, "request", "/8"),
+        ("9", 2, "response", 200),
+        ("9", 4, "response", 200),
     ]
 
 
-def test_idle_flow_is_freed_and_late_rows_are_counted(spark, tmp_path):
+def test_idle_flow_is_freed_and_no_byte_is_lost(spark, tmp_path):
     half = GET % 1
     batches = [
         [(0, 1000, 1, half[:12])],
         [(1, 9000, 2, GET % 5)],
         [(2, 9100, 1, half[12:])],
-        [(3, 10, 3, GET % 6)],
+        [(1, 10, 1, GET % 6)],
     ]
-    query, found = run_messages(spark, tmp_path, batches, late="60 seconds", idle_seconds=600)
-    # The first flow was idle past its limit, so its second half starts anew and is foreign.
-    assert found == [("2", 1, "request", "GET", "/5")]
-    assert packets.late_rows(query) == 1
+    assert run_messages(spark, tmp_path, batches, idle_seconds=600) == [
+        # The first flow paused past its limit, so its second half starts anew and is foreign.
+        ("1", 1, "late", len(GET % 6)),
+        ("1", 2, "foreign", len(half) - 12),
+        ("1", 2, "freed", 12),
+        ("2", 1, "request", "/5"),
+    ]
+
+
+def test_state_is_left_after_processing_time(spark, tmp_path):
+    batches = [[(0, 1000, 1, GET[:12])], [(1, 1001, 2, GET % 5)]]
+    found = run_messages(spark, tmp_path, batches, keep_seconds=0.001)
+    assert found == [("1", 0, "freed", 12), ("2", 1, "request", "/5")]
 
 
 def test_capture_stream_equals_batch(spark, tmp_path):
