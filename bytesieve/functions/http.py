@@ -219,3 +219,38 @@ class MessageCutter:
     def _finish(self, messages: list[tuple]) -> None:
         messages.append((*self.found, self.size))
         self.stage, self.found, self.size = FIRST, None, 0
+
+
+class ConversationCutter:
+    """The cutters of both directions of a conversation and the place of the last packet of each.
+
+    A place is (microseconds, path, number). A conversation that pauses for more than ``idle_us`` of packet time starts anew.
+    """
+
+    def __init__(self, idle_us: int, several_files: bool, state: dict | None = None):
+        state = state or {"cutters": [None, None], "newest": [None, None], "asked": []}
+        self.idle_us, self.several_files = idle_us, several_files
+        self.asked: list[str] = state["asked"]
+        self.cutters = [MessageCutter(cutter, self.asked) for cutter in state["cutters"]]
+        self.newest = [tuple(place) if place else None for place in state["newest"]]
+
+    def state(self) -> dict:
+        return {"cutters": [c.state() for c in self.cutters], "newest": self.newest, "asked": self.asked}
+
+    def end(self, kind: str = "freed") -> list[tuple]:
+        """Give up what is unfinished: (side, place, (kind, method, uri, status, bytes)) at the last packet of each side."""
+        lost = [(side, self.newest[side], (kind, None, None, None, c.unfinished())) for side, c in enumerate(self.cutters)]
+        self.asked.clear()
+        self.cutters = [MessageCutter(None, self.asked) for _ in range(2)]
+        return [entry for entry in lost if entry[2][4]]
+
+    def feed(self, side: int, place: tuple, payload: bytes) -> list[tuple]:
+        """What a packet completes or loses, as in ``end``; one that belongs before the last one of its side is late."""
+        last = self.newest[side]
+        skipped = 0 if self.several_files else 2
+        if last is not None and place[skipped:] < last[skipped:]:
+            return [(side, place, ("late", None, None, None, len(payload)))]
+        seen = [place[0] for place in self.newest if place]
+        found = self.end() if seen and place[0] - max(seen) > self.idle_us else []
+        self.newest[side] = place
+        return found + [(side, place, entry) for entry in self.cutters[side].feed(payload)]

@@ -7,12 +7,14 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bytesieve.functions.hashing import slots_of
+from bytesieve.functions.hashing import seeded_hash, slot, slots_of
 from bytesieve.functions.sizing import false_adds, filter_bits, zero_bit_share
 from bytesieve.session import lookup_join, materialize
 
 # Bitmaps of 4 KiB that may be broadcast together: 32 MiB.
 BROADCAST_BITMAPS = 8_192
+# Bits among which a blocked filter spreads the bits of one gram.
+BLOCK_BITS = 512
 # Size of the one-hash filter that goes before a shuffled join: up to 2**30 bits, 128 MiB.
 POSSIBLE_BITS_PER_GRAM = 16
 POSSIBLE_MAX_BITS = 1 << 30
@@ -23,9 +25,24 @@ def bits_for(capacity: int, k: int) -> int:
     return int(capacity * k / math.log(2))
 
 
-def _placed(grams: DataFrame, k: int, bits: int, keep: tuple[str, ...]) -> DataFrame:
+def blocked_slots(data: Column, k: int, bits: int) -> Column:
+    """k bits of the bytes, all within one block of ``BLOCK_BITS``.
+
+    One hash picks the block; the others give seven 9-bit places each.
+    """
+    blocks = max(1, -(-bits // BLOCK_BITS))
+    places = [
+        F.shiftrightunsigned(seeded_hash(data, 1 + number // 7), 9 * (number % 7)).bitwiseAND(F.lit(BLOCK_BITS - 1))
+        for number in range(k)
+    ]
+    first = slot(data, 0, blocks) * BLOCK_BITS
+    return F.array(*[first + place for place in places])
+
+
+def _placed(grams: DataFrame, k: int, bits: int, keep: tuple[str, ...], blocked: bool = False) -> DataFrame:
     """k rows per gram: bitmap number and bit inside it."""
-    at = grams.select(*keep, F.explode(slots_of(F.col("gram"), k, bits)).alias("_at"))
+    slots = blocked_slots if blocked else slots_of
+    at = grams.select(*keep, F.explode(slots(F.col("gram"), k, bits)).alias("_at"))
     return at.select(
         *keep,
         F.bitmap_bucket_number(F.col("_at") + 1).alias("bucket"),
@@ -33,15 +50,20 @@ def _placed(grams: DataFrame, k: int, bits: int, keep: tuple[str, ...]) -> DataF
     )
 
 
-def build_bloom(vocab: DataFrame, k: int, bits: int, by: tuple[str, ...] = ()) -> DataFrame:
+def build_bloom(
+    vocab: DataFrame, k: int, bits: int, by: tuple[str, ...] = (), *, blocked: bool = False
+) -> DataFrame:
     """Bitmaps of the filter that holds all grams of ``vocab``.
 
+    The bits of a gram lie anywhere, or ``blocked`` in one block of 512, so that one lookup answers for a gram
+    (``probe_blocked``) at a somewhat higher rate of false positives (``blocked_false_share``).
+
     Positions are moved to their bitmap before any bitmap is made, so the shuffle carries
     8-byte positions and not one 4 KiB bitmap per task and bucket.
     """
     keys = [*by, "bucket"]
     return (
-        _placed(vocab, k, bits, by)
+        _placed(vocab, k, bits, by, blocked)
         .repartition(*keys)
         .groupBy(*keys)
         .agg(F.bitmap_construct_agg("bit").alias("bitmap"))
@@ -67,6 +89,20 @@ def _bit_is_set(bitmap: Column, bit: Column) -> Column:
     return F.getbit(byte, (bit % 8).cast("int"))
 
 
+def _words(bitmap: str) -> Column:
+    """The bytes of a bitmap as 512 signed words, so that asking for a bit is plain arithmetic."""
+    return F.transform(
+        F.sequence(F.lit(1), F.lit(4_089), F.lit(8)),
+        lambda at: F.conv(F.hex(F.substring(bitmap, at, F.lit(8))), 16, -10).cast("long"),
+    )
+
+
+def _word_bit(words: Column, bit: Column) -> Column:
+    """Bit ``bit`` of a bitmap given as words."""
+    shift = (7 - F.shiftright(bit, 3) % 8) * 8 + bit % 8
+    return F.getbit(F.element_at(words, (F.shiftright(bit, 6) + 1).cast("int")), shift.cast("int"))
+
+
 def keep_possible(df: DataFrame, members: DataFrame, column: str = "gram") -> DataFrame:
     """Rows whose ``column`` may be in ``members``; rows surely outside are gone.
 
@@ -76,21 +112,13 @@ def keep_possible(df: DataFrame, members: DataFrame, column: str = "gram") -> Da
     """
     bits = min(max(members.count() * POSSIBLE_BITS_PER_GRAM, 1), POSSIBLE_MAX_BITS)
     bitmaps = materialize(build_bloom(members, 1, bits), "possible")
-    # The bytes of a bitmap as 512 signed words, so that asking for a bit is plain arithmetic.
-    words = F.transform(
-        F.sequence(F.lit(1), F.lit(4_089), F.lit(8)),
-        lambda at: F.conv(F.hex(F.substring("bitmap", at, F.lit(8))), 16, -10).cast("long"),
-    )
-    table = bitmaps.select("bucket", words.alias("_words"))
-    bit = F.col("_bit")
-    word = F.element_at("_words", (F.shiftright(bit, 6) + 1).cast("int"))
-    shift = (7 - F.shiftright(bit, 3) % 8) * 8 + bit % 8
+    table = bitmaps.select("bucket", _words("bitmap").alias("_words"))
     at = slots_of(F.col(column), 1, bits)[0]
     placed = df.withColumn("_at", at + 1).withColumn("bucket", F.bitmap_bucket_number("_at"))
     return (
         placed.withColumn("_bit", F.bitmap_bit_position("_at"))
         .join(F.broadcast(table), "bucket")
-        .where(F.getbit(word, shift.cast("int")) == 1)
+        .where(_word_bit(F.col("_words"), F.col("_bit")) == 1)
         .select(*df.columns)
     )
 
@@ -106,8 +134,37 @@ def probe_bloom(
     return found.groupBy(*by, "gram").agg((F.min(hit) == 1).alias("maybe"))
 
 
-def first_colliding(first: DataFrame, k: int, bits: int) -> DataFrame:
-    """Grams that a filter filled in order of first ``step`` already calls present.
+def probe_blocked(
+    grams: DataFrame, bitmaps: DataFrame, k: int, bits: int, by: tuple[str, ...] = (), max_rows: int = BROADCAST_BITMAPS
+) -> DataFrame:
+    """Every row of ``grams`` with ``maybe``: whether the blocked filter (of its group) calls its gram present.
+
+    All bits of a gram lie in one bitmap, so a row stays one row: bitmaps of checked size are broadcast and rows are
+    answered where they are; larger filters are joined by bitmap, and nothing is grouped by gram.
+    """
+    keys = [*by, "bucket"]
+    slots = blocked_slots(F.col("gram"), k, bits)
+    asked = grams.withColumn("_slots", slots).withColumn("bucket", F.bitmap_bucket_number(F.col("_slots")[0] + 1))
+    table = bitmaps.select(*keys, _words("bitmap").alias("_words"))
+    found = lookup_join(asked, table, keys, spread_by=F.xxhash64("gram"), max_rows=max_rows)
+    hits = F.forall("_slots", lambda at: _word_bit(F.col("_words"), F.bitmap_bit_position(at + 1)) == 1)
+    return found.select(*grams.columns, F.coalesce(F.col("_words").isNotNull() & hits, F.lit(False)).alias("maybe"))
+
+
+def blocked_false_share(bitmaps: DataFrame, k: int, bits: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """Expected share of false positives: the mean over blocks of the share of set bits to the power k."""
+    blocks = max(1, -(-bits // BLOCK_BITS))
+    width = BLOCK_BITS // 8
+    parts = F.transform(
+        F.sequence(F.lit(0), F.lit(4_096 // width - 1)), lambda i: F.substring("bitmap", i * width + 1, F.lit(width))
+    )
+    filled = bitmaps.select(*by, F.explode(parts).alias("_block"))
+    share = F.pow(F.bitmap_count("_block") / F.lit(float(BLOCK_BITS)), F.lit(float(k)))
+    return filled.groupBy(*by).agg((F.sum(share) / blocks).alias("false_share"))
+
+
+def completed(first: DataFrame, k: int, bits: int) -> DataFrame:
+    """Each gram of a filter filled in order of first ``step`` with ``complete``, the step that set the last of its bits.
 
     A slot is set by the gram with its smallest step, and a refused gram sets none, so a
     gram is refused exactly if all of its slots have a smaller first step than its own.
@@ -119,24 +176,29 @@ def first_colliding(first: DataFrame, k: int, bits: int) -> DataFrame:
     return (
         placed.withColumn("_set_at", F.min("step").over(by_slot))
         .groupBy("gram", "step")
-        .agg(F.max("_set_at").alias("_complete"))
-        .where(F.col("_complete") < F.col("step"))
-        .select("gram", "step")
+        .agg(F.max("_set_at").alias("complete"))
     )
 
 
+def first_colliding(first: DataFrame, k: int, bits: int) -> DataFrame:
+    """Grams that a filter filled in order of first ``step`` already calls present."""
+    return completed(first, k, bits).where(F.col("complete") < F.col("step")).select("gram", "step")
+
+
 def audit_bloom(stepped: DataFrame, packets: DataFrame, k: int, bits: int) -> DataFrame:
     """Exact set beside a filter filled in step order, one row of counters.
 
     ``add_ok`` new and accepted, ``add_no`` new but refused (false positive), ``add_re``
-    repeats, of which none can be called new.
+    repeats; ``repeats_called_new`` counts those of grams whose bits were not all set by their first step.
     """
     counted = stepped.groupBy("gram").agg(F.min("step").alias("step"), F.count("*").alias("cnt"))
-    refused = first_colliding(counted.select("gram", "step"), k, bits).withColumn("_no", F.lit(1))
-    totals = counted.join(refused.select("gram", "_no"), "gram", "left").agg(
+    bits_of = completed(counted.select("gram", "step"), k, bits).select("gram", "complete")
+    unset = F.col("complete") > F.col("step")
+    totals = counted.join(bits_of, "gram", "left").agg(
         F.sum("cnt").alias("ngrams"),
         F.count("*").alias("distinct_grams"),
-        F.count("_no").alias("add_no"),
+        F.count_if(F.col("complete") < F.col("step")).alias("add_no"),
+        F.coalesce(F.sum(F.when(unset, F.col("cnt") - 1)), F.lit(0)).cast("long").alias("repeats_called_new"),
     )
     read = packets.agg(F.count("*").alias("packets")).withColumn("_one", F.lit(1))
     return (
@@ -150,7 +212,7 @@ def audit_bloom(stepped: DataFrame, packets: DataFrame, k: int, bits: int) -> Da
             (F.col("distinct_grams") - F.col("add_no")).alias("add_ok"),
             "add_no",
             (F.col("ngrams") - F.col("distinct_grams")).alias("add_re"),
-            F.lit(0).cast("long").alias("repeats_called_new"),
+            "repeats_called_new",
         )
     )
 

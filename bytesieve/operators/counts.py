@@ -10,6 +10,9 @@ from bytesieve.functions.hashing import sign, slot
 from bytesieve.functions.sizing import collision_share
 from bytesieve.session import lookup_join
 
+# Counters of a dense sketch that are held in one row.
+PAGE_CELLS = 4_096
+
 
 def decoded(payloads: DataFrame, *, inner_space: bool = False) -> DataFrame:
     """Replace ``payload_hex`` by ``payload``; undecodable payloads are dropped."""
@@ -200,6 +203,44 @@ def estimate_signed(grams: DataFrame, sketch: DataFrame, slots: int, k: int = 5)
     return votes.select("gram", middle.alias("estimate"))
 
 
+def dense_sketch(sketch: DataFrame, slots: int, k: int = 5) -> DataFrame:
+    """The cells of a signed sketch as rows (seed_no, page, cells) of ``PAGE_CELLS`` counters each, zeros too."""
+    spark = sketch.sparkSession
+    pages = -(-slots // PAGE_CELLS)
+    number = F.col("id")
+    empty = spark.range(k * pages * PAGE_CELLS).select(
+        (number / (pages * PAGE_CELLS)).cast("int").alias("seed_no"),
+        (number % (pages * PAGE_CELLS)).alias("slot"),
+        F.lit(0).cast("long").alias("cell"),
+    )
+    whole = sketch.select("seed_no", F.col("slot").cast("long").alias("slot"), "cell").unionByName(empty)
+    cells = whole.groupBy("seed_no", "slot").agg(F.sum("cell").alias("cell"))
+    page = F.expr(f"slot div {PAGE_CELLS}").cast("int")
+    return (
+        cells.groupBy("seed_no", page.alias("page"))
+        .agg(F.sort_array(F.collect_list(F.struct("slot", "cell"))).alias("_cells"))
+        .select("seed_no", "page", F.col("_cells.cell").alias("cells"))
+    )
+
+
+def estimate_dense(grams: DataFrame, pages: DataFrame, slots: int, k: int = 5) -> DataFrame:
+    """Every row of ``grams`` with ``estimate``, its count by a stored ``dense_sketch``: the median over seeds.
+
+    One lookup per seed in a table of pages, broadcast if its measured bytes allow; a row stays where it is and one row.
+    """
+    found = grams
+    for number in range(k):
+        place = slot(F.col("gram"), number, slots)
+        of_seed = pages.where(F.col("seed_no") == number).select("page", F.col("cells").alias(f"_cells_{number}"))
+        found = found.withColumn("page", F.floor(place / PAGE_CELLS).cast("int"))
+        found = lookup_join(found, of_seed, ["page"], spread_by=F.xxhash64("gram"))
+        cell = F.element_at(f"_cells_{number}", (place % PAGE_CELLS + 1).cast("int"))
+        found = found.withColumn(f"_vote_{number}", sign(F.col("gram"), number) * cell).drop("page", f"_cells_{number}")
+    ordered = F.array_sort(F.array(*[F.col(f"_vote_{number}") for number in range(k)]))
+    middle = (ordered[(k - 1) // 2] + ordered[k // 2]) / F.lit(2.0)
+    return found.select(*grams.columns, middle.alias("estimate"))
+
+
 def gram_hex(column: Column | str = "gram") -> Column:
     """Grams leave as lower-case hex text."""
     return F.lower(F.hex(column)).alias("gram_hex")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bytesieve.functions.headers import FLOW, PROTO_TCP
-from bytesieve.functions.http import METHODS, message_heads
+from bytesieve.functions.http import METHODS, ConversationCutter, message_heads
 from bytesieve.operators.order import global_rank, running_total
 from bytesieve.session import lookup_join, materialize
 
@@ -16,6 +19,73 @@ CHUNK_BYTES = 1 << 20
 PACKETS_PER_TASK = 1_000_000
 
 
+# End points of a conversation, place of a packet and fields of a message.
+CONVERSATION = ["ip_a", "port_a", "ip_b", "port_b"]
+PLACE = ["ts_us", "path", "packet_no"]
+MESSAGE = ["kind", "method", "uri", "status", "message_bytes"]
+MESSAGE_SCHEMA = (
+    "src string, dst string, sport int, dport int, ts_us long, path string, packet_no long, "
+    "kind string, method string, uri string, status int, message_bytes long"
+)
+
+
+def conversation_rows(packets: DataFrame) -> DataFrame:
+    """``CONVERSATION``, forth (whether the packet runs from a to b), ``PLACE`` and payload of packets with flow and ts."""
+    source = F.struct(F.col("src").alias("ip"), F.col("sport").alias("port"))
+    target = F.struct(F.col("dst").alias("ip"), F.col("dport").alias("port"))
+    low, high = F.least(source, target), F.greatest(source, target)
+    path = F.col("path") if "path" in packets.columns else F.lit(None).cast("string")
+    return packets.select(
+        low["ip"].alias("ip_a"), low["port"].alias("port_a"), high["ip"].alias("ip_b"), high["port"].alias("port_b"),
+        (source == low).alias("forth"), F.unix_micros("ts").alias("ts_us"), path.alias("path"), "packet_no", "payload",
+    )
+
+
+def message_row(key: tuple, entry: tuple) -> tuple:
+    """``MESSAGE_SCHEMA`` of what a ``ConversationCutter`` found in the conversation ``key``."""
+    side, place, message = entry
+    ip_a, port_a, ip_b, port_b = key
+    return (*((ip_a, ip_b, port_a, port_b) if side == 0 else (ip_b, ip_a, port_b, port_a)), *place, *message)
+
+
+def all_messages(packets: DataFrame, *, idle_seconds: int = 3600) -> DataFrame:
+    """All HTTP messages of all conversations, and all bytes that became none; see ``streaming.packets.flow_messages``.
+
+    Rows of kind ``unfinished`` stand for messages that the packets end in, ``foreign`` and ``freed`` mean the same as on
+    streams. Packets are sorted by conversation and place, with spilling, and each task parses its conversations one after
+    another. It holds a line and a few numbers of one conversation at a time: neither a flow, nor a body, nor a head is put together.
+    """
+    several = "path" in packets.columns
+    place = PLACE if several else PLACE[2:]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, cutter = None, None
+        for batch in batches:
+            found: list[tuple] = []
+            columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
+            for *ends, forth, ts_us, path, number, payload in zip(*columns, strict=True):
+                if ends != key:
+                    found += [message_row(tuple(key), entry) for entry in cutter.end("unfinished")] if cutter else []
+                    key, cutter = ends, ConversationCutter(idle_seconds * 1_000_000, several)
+                if payload is not None:
+                    found += [message_row(tuple(key), entry) for entry in cutter.feed(int(not forth), (ts_us, path, number), payload)]
+            yield _message_batch(found)
+        if cutter:
+            yield _message_batch([message_row(tuple(key), entry) for entry in cutter.end("unfinished")])
+
+    rows = conversation_rows(packets)
+    ordered = rows.repartition(*CONVERSATION).sortWithinPartitions(*CONVERSATION, *place)
+    return ordered.mapInArrow(run, MESSAGE_SCHEMA)
+
+
+def _message_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int64()]
+    kinds += [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64()]
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
+    arrays = [pa.array(column, kind) for column, kind in zip(columns, kinds, strict=True)]
+    return pa.RecordBatch.from_arrays(arrays, [*FLOW, *PLACE, *MESSAGE])
+
+
 def exclude_flows(packets: DataFrame, exclusions: DataFrame) -> DataFrame:
     """Packets whose directed 4-tuple is not listed; ``exclusions`` is a stored table."""
     listed = exclusions.select(*FLOW).distinct()

@@ -469,17 +469,16 @@ def merged_heavy_hitters_bounds(spark, sf_dir):
 def signed_frequency_sketch(spark, sf_dir):
     """Estimates of the signed-counter sketch beside exact counts."""
     exact = materialize(_counts(spark, sf_dir), "counts")
-    sketch = materialize(counts.signed_sketch(exact, SLOTS), "signed-sketch")
-    estimates = counts.estimate_signed(exact, sketch, SLOTS)
-    return exact.join(estimates, "gram").select(gram_hex(), "cnt", "estimate")
+    pages = materialize(counts.dense_sketch(counts.signed_sketch(exact, SLOTS), SLOTS), "dense-sketch")
+    return counts.estimate_dense(exact, pages, SLOTS).select(gram_hex(), "cnt", "estimate")
 
 
 @query(f"{COUNTS} SELECT count(*) AS grams, true AS mostly_near FROM counts")
 def signed_sketch_bounds(spark, sf_dir):
     """At least 99 % of all estimates lie within four deviations of a counter from the exact count."""
     exact = materialize(_counts(spark, sf_dir), "counts")
-    sketch = materialize(counts.signed_sketch(exact, SLOTS), "signed-sketch")
-    compared = exact.join(counts.estimate_signed(exact, sketch, SLOTS), "gram")
+    pages = materialize(counts.dense_sketch(counts.signed_sketch(exact, SLOTS), SLOTS), "dense-sketch")
+    compared = counts.estimate_dense(exact, pages, SLOTS)
     # The square deviation of one counter is the sum of all squared counts over the slots.
     squares = exact.agg((F.sum(F.col("cnt").cast("double") ** 2) / SLOTS).alias("variance"))
     near = (F.col("estimate") - F.col("cnt")) ** 2 <= 16 * F.col("variance")
@@ -488,6 +487,19 @@ def signed_sketch_bounds(spark, sf_dir):
     )
 
 
+@query(f"{COUNTS} SELECT unnest(range(5))::INTEGER AS seed_no, windows, true AS possible FROM (SELECT CAST(sum(cnt) AS BIGINT) AS windows FROM counts)")
+def sketch_magnitudes(spark, sf_dir):
+    """The magnitudes of a seed's counters add up to the windows, less twice what cancelled out."""
+    exact = materialize(_counts(spark, sf_dir), "counts")
+    cells = counts.signed_sketch(exact, SLOTS)
+    total = exact.agg(F.sum("cnt").alias("windows"))
+    size = F.sum(sizing.magnitude(F.col("cell")))
+    possible = (F.col("size") <= F.col("windows")) & ((F.col("windows") - F.col("size")) % 2 == 0) & (F.col("size") > 0)
+    return cells.groupBy("seed_no").agg(size.alias("size")).crossJoin(F.broadcast(total)).select(
+        "seed_no", "windows", possible.alias("possible")
+    )
+
+
 @query(
     f"""{TIER_COUNTS} SELECT gram_hex, least(CAST(sum(cnt) AS BIGINT), 65535) AS cnt FROM counts GROUP BY gram_hex"""
 )
@@ -612,12 +624,12 @@ def bloom_fill_bounds(spark, sf_dir):
     f"""{TIER_COUNTS} SELECT count(*) AS members, count(*) AS found FROM counts WHERE tier = 'gold'"""
 )
 def bloom_members(spark, sf_dir):
-    """A filter finds every member of its vocabulary."""
+    """A blocked filter finds every member of its vocabulary."""
     gold = payloads(spark, sf_dir).where(F.col("tier") == "gold")
     vocab = materialize(counts.count_grams(gold, N).select("gram"), "gold")
     bits = 1_000_003
-    bitmaps = materialize(bloom.build_bloom(vocab, HASHES, bits), "gold-filter")
-    return bloom.probe_bloom(vocab, bitmaps, HASHES, bits).agg(
+    bitmaps = materialize(bloom.build_bloom(vocab, HASHES, bits, blocked=True), "gold-filter")
+    return bloom.probe_blocked(vocab, bitmaps, HASHES, bits).agg(
         F.count("*").alias("members"), F.count_if("maybe").alias("found")
     )
 
@@ -635,13 +647,14 @@ def bloom_probe(spark, sf_dir):
     return exact.groupBy("member", "maybe").agg(F.count("*").alias("grams"))
 
 
-@query(
-    f"""{TIER_COUNTS}, asked AS (SELECT n.gram_hex, g.gram_hex IS NOT NULL AS member FROM
+PROBE_SQL = f"""{TIER_COUNTS}, asked AS (SELECT n.gram_hex, g.gram_hex IS NOT NULL AS member FROM
       (SELECT gram_hex FROM counts WHERE tier = 'normal') n LEFT JOIN
       (SELECT gram_hex FROM counts WHERE tier = 'gold') g ON n.gram_hex = g.gram_hex)
     SELECT count(*) FILTER (member) AS members, 0::BIGINT AS missed, count(*) FILTER (NOT member) AS others,
       true AS few_false FROM asked"""
-)
+
+
+@query(PROBE_SQL)
 def bloom_probe_bounds(spark, sf_dir):
     """No member is missed, and other grams are found no more often than the fill lets expect."""
     split = _split_tiers(spark, sf_dir)
@@ -659,10 +672,30 @@ def bloom_probe_bounds(spark, sf_dir):
     return found.crossJoin(bloom.bits_set(bitmaps)).select("members", "missed", "others", few.alias("few_false"))
 
 
+@query(PROBE_SQL)
+def blocked_probe_bounds(spark, sf_dir):
+    """The same for a blocked filter, whose expected share comes from the fill of its blocks."""
+    split = _split_tiers(spark, sf_dir)
+    bits = 1_000_003
+    bitmaps = materialize(bloom.build_bloom(split["gold"], HASHES, bits, blocked=True), "blocked-filter")
+    members = split["gold"].select("gram", F.lit(True).alias("member"))
+    asked = bloom.probe_blocked(split["normal"], bitmaps, HASHES, bits).join(members, "gram", "left")
+    member = F.coalesce("member", F.lit(False))
+    found = asked.agg(
+        F.count_if(member).alias("members"), F.count_if(member & ~F.col("maybe")).alias("missed"),
+        F.count_if(~member).alias("others"), F.count_if(~member & F.col("maybe")).alias("false"),
+    )
+    expected = F.col("others") * F.col("false_share")
+    few = F.col("false") <= expected * 1.1 + 6 * F.sqrt(expected) + 6
+    share = bloom.blocked_false_share(bitmaps, HASHES, bits)
+    return found.crossJoin(F.broadcast(share)).select("members", "missed", "others", few.alias("few_false"))
+
+
 @query(
     f"""{WINS} SELECT (SELECT count(*) FROM payloads) AS packets, count(*) AS ngrams,
       count(DISTINCT gram_hex) AS distinct_grams, count(*) - count(DISTINCT gram_hex) AS repeats,
-      count(*) - count(DISTINCT gram_hex) AS add_re, count(DISTINCT gram_hex) AS add_ok_or_no FROM wins"""
+      count(*) - count(DISTINCT gram_hex) AS add_re, count(DISTINCT gram_hex) AS add_ok_or_no,
+      0::BIGINT AS repeats_called_new FROM wins"""
 )
 def bloom_audit(spark, sf_dir):
     """Counters of an exact set beside a filter filled in reading order."""
@@ -670,7 +703,7 @@ def bloom_audit(spark, sf_dir):
     stepped = order.stepped_windows(every, N, ["doc_id"])
     audit = bloom.audit_bloom(stepped, every, HASHES, 1_000_003)
     return audit.select(
-        "packets", "ngrams", "distinct_grams", "repeats", "add_re",
+        "packets", "ngrams", "distinct_grams", "repeats", "add_re", "repeats_called_new",
         (F.col("add_ok") + F.col("add_no")).alias("add_ok_or_no"),
     )
 

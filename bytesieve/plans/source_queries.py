@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bytesieve.functions.codec import hex_encode
-from bytesieve.functions.headers import FLOW, PROTO_TCP, PROTO_UDP, only_protocol, parse_frames
+from bytesieve.functions.headers import FLOW, PROTO_TCP, PROTO_UDP, only_protocol, parse_frames, rewrite_ports, tcp_port
 from bytesieve.operators import bloom, counts, flows, order, training, vocabulary
 from bytesieve.operators.counts import gram_hex
 from bytesieve.plans.gram_queries import CAPACITY, COUNTS, HASHES, N, STEPPED, TIER_COUNTS
@@ -19,12 +19,15 @@ from bytesieve.plans.packet_queries import DECODED_SQL, FRAMES_SQL, STREAMS_SQL
 from bytesieve.plans.registry import query
 from bytesieve.plans.sql_parts import PAYLOADS, tiers
 from bytesieve.session import materialize, scratch_path
-from bytesieve.sources import capture, runs, tables
+from bytesieve.sources import capture, runs, split_captures, tables
 from bytesieve.sources import payloads as lines
 from bytesieve.streaming import ingest
 from bytesieve.streaming import packets as packet_streams
 
 
+_MESSAGES_SQL = """CASE WHEN sport = 80 THEN 'response' ELSE 'request' END AS kind,
+      CASE WHEN dport = 80 THEN 'GET' END AS method, CASE WHEN dport = 80 THEN '/item/' || packet_no END AS uri,
+      CASE WHEN sport = 80 THEN 200 END AS status, CAST(length(payload_hex) // 2 AS BIGINT) AS message_bytes"""
 FILES_PER_SOURCE = 4
 
 
@@ -178,6 +181,15 @@ def capture_stream_list(spark, sf_dir):
     return flows.stream_table(_captured_tcp(spark, sf_dir)).select("stream_id", "packets")
 
 
+@query(f"{FRAMES_SQL} SELECT ts_us, frame_hex FROM frames")
+def split_capture_packets(spark, sf_dir):
+    """A5: capture files read in ranges of a quarter of a megabyte, several tasks per file."""
+    path = scratch_path(spark, "captures")
+    capture.write_captures(frames(spark, sf_dir), path, files=2)
+    read = split_captures.read_split_captures(spark, path, split_bytes=1 << 18)
+    return read.select(F.expr("ts_ns div 1000").alias("ts_us"), hex_encode(F.col("frame")).alias("frame_hex"))
+
+
 @query(f"{FRAMES_SQL} SELECT ts_us, frame_hex FROM frames")
 def capture_round_trip(spark, sf_dir):
     """Frames and times written as capture files and read back."""
@@ -185,6 +197,46 @@ def capture_round_trip(spark, sf_dir):
     return read.select(F.expr("ts_ns div 1000").alias("ts_us"), hex_encode(F.col("frame")).alias("frame_hex"))
 
 
+def _through_captures(spark, changed):
+    """Frames of capture files, changed, written as capture files and read back."""
+    path = scratch_path(spark, "changed")
+    capture.write_captures(changed, path)
+    read = capture.read_captures(spark, path)
+    return read.select(F.expr("ts_ns div 1000").alias("ts_us"), hex_encode(F.col("frame")).alias("frame_hex"))
+
+
+@query(f"{FRAMES_SQL} SELECT ts_us, frame_hex FROM frames WHERE packet_no % 50 <> 49 AND proto = 6 AND 80 IN (sport, dport)")
+def filtered_capture(spark, sf_dir):
+    """Port-80 frames of capture files, written as capture files of their own."""
+    numbered = capture.number_frames(capture.read_captures(spark, _capture_folder(spark, sf_dir)))
+    kept = tcp_port(parse_frames(numbered.withColumn("data", F.col("frame"))))
+    return _through_captures(spark, kept.select("packet_no", "ts_ns", F.col("data").alias("frame")))
+
+
+@query(
+    f"""{FRAMES_SQL} SELECT ts_us, CASE WHEN packet_no % 50 = 49 OR proto <> 6 THEN frame_hex
+      ELSE substr(frame_hex, 1, 68) || CASE WHEN sport = 22 THEN '139e' ELSE substr(frame_hex, 69, 4) END
+        || CASE WHEN dport = 22 THEN '139e' ELSE substr(frame_hex, 73, 4) END || substr(frame_hex, 77) END AS frame_hex
+    FROM frames"""
+)
+def rewritten_capture(spark, sf_dir):
+    """Capture files with TCP port 22 turned into 5022, written as capture files."""
+    numbered = capture.number_frames(capture.read_captures(spark, _capture_folder(spark, sf_dir)))
+    mapping = spark.createDataFrame([(22, 5022)], "from_port int, to_port int")
+    return _through_captures(spark, rewrite_ports(numbered, mapping))
+
+
+@query(
+    f"""{DECODED_SQL} SELECT src, dst, sport, dport, ts_us, {_MESSAGES_SQL}
+    FROM decoded WHERE proto = 6 AND 80 IN (sport, dport)"""
+)
+def flow_messages_batch(spark, sf_dir):
+    """P10: all messages of all conversations, each of which lies in two packets, and all lost bytes: none."""
+    frames_of = parse_frames(_cut_frames(spark, sf_dir))
+    found = flows.all_messages(only_protocol(frames_of, PROTO_TCP), idle_seconds=400 * 86_400)
+    return found.drop("path", "packet_no")
+
+
 @query(
     f"""{STREAMS_SQL} SELECT s.stream_id, count(*) AS packets, CAST(sum(length(e.payload_hex) // 2) AS BIGINT) AS bytes
     FROM ends e JOIN streams s ON e.conversation = s.conversation GROUP BY s.stream_id"""
@@ -278,11 +330,6 @@ def streamed_second_sightings(spark, sf_dir):
     return ingest.second_sighting_vocabulary(spark, deltas).select(gram_hex(), "cnt")
 
 
-_MESSAGES_SQL = """CASE WHEN sport = 80 THEN 'response' ELSE 'request' END AS kind,
-      CASE WHEN dport = 80 THEN 'GET' END AS method, CASE WHEN dport = 80 THEN '/item/' || packet_no END AS uri,
-      CASE WHEN sport = 80 THEN 200 END AS status, CAST(length(payload_hex) // 2 AS BIGINT) AS message_bytes"""
-
-
 def _take_new(messages, out: str, state: str) -> None:
     messages.writeStream.format("parquet").outputMode("append").option("checkpointLocation", state).trigger(
         availableNow=True
@@ -313,7 +360,7 @@ def streamed_messages(spark, sf_dir):
         # Packets in order of their numbers, whose times run to and fro: no pause ends a flow.
         messages = packet_streams.flow_messages(stream, idle_seconds=400 * 86_400)
         _take_new(messages.where("kind <> 'foreign'").drop("ts_us", "path"), out, state)
-    return spark.read.schema(packet_streams.MESSAGE_SCHEMA).parquet(out).drop("ts_us", "path")
+    return spark.read.schema(flows.MESSAGE_SCHEMA).parquet(out).drop("ts_us", "path")
 
 
 def _cut_frames(spark, sf_dir):
@@ -348,7 +395,7 @@ def streamed_capture_messages(spark, sf_dir):
         parsed = parse_frames(packet_streams.frame_stream(session, f"{folder}/*"))
         messages = packet_streams.flow_messages(only_protocol(parsed, PROTO_TCP), idle_seconds=400 * 86_400)
         _take_new(messages.drop("path", "packet_no"), out, state)
-    return spark.read.schema(packet_streams.MESSAGE_SCHEMA).parquet(out).drop("path", "packet_no")
+    return spark.read.schema(flows.MESSAGE_SCHEMA).parquet(out).drop("path", "packet_no")
 
 
 @query(

@@ -6,13 +6,16 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
 
 # Rows a lookup side may have before it is joined by shuffle instead of broadcast.
 BROADCAST_ROWS = 500_000
+# Bytes it may have, as measured from its values.
+BROADCAST_BYTES = 128 << 20
 # Copies of a lookup side in a shuffled join, so that one hot key is cut in this many parts.
 SALTS = 32
 
@@ -74,9 +77,25 @@ def fence(df: DataFrame, *columns: Column | str) -> DataFrame:
     return df.select(F.inline(F.array(F.struct(*columns))))
 
 
-def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows; reads no more than one row beyond."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def _row_bytes(column: Column, kind: DataType) -> Column:
+    """About how many bytes a value takes in a broadcast table."""
+    if isinstance(kind, (StringType, BinaryType)):
+        return 16 + F.coalesce(F.octet_length(column), F.lit(0)).cast("long")
+    if isinstance(kind, StructType):
+        return reduce(Column.__add__, [_row_bytes(column[field.name], field.dataType) for field in kind.fields])
+    if isinstance(kind, ArrayType):
+        inner = F.transform(column, lambda value: _row_bytes(value, kind.elementType))
+        return 24 + F.coalesce(F.aggregate(inner, F.lit(0).cast("long"), lambda a, b: a + b), F.lit(0).cast("long"))
+    if isinstance(kind, MapType):
+        return 16 + F.coalesce(F.octet_length(F.to_json(column)), F.lit(0)).cast("long")
+    return F.lit(8).cast("long")
+
+
+def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most ``max_rows`` rows and ``max_bytes`` bytes; reads no more than one row beyond."""
+    size = reduce(Column.__add__, [_row_bytes(F.col(field.name), field.dataType) for field in df.schema.fields])
+    found = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("rows"), F.sum(size).alias("bytes")).first()
+    return found["rows"] <= max_rows and (found["bytes"] or 0) <= max_bytes
 
 
 def broadcast_bytes_join(left: DataFrame, right: DataFrame, column: str, how: str) -> DataFrame:
@@ -111,7 +130,7 @@ def lookup_join(
 ) -> DataFrame:
     """Join ``left`` with ``right``, whose ``on`` columns are unique.
 
-    A right side of checked size is broadcast. A larger one is shuffled; with
+    A right side of checked size, in rows and in bytes, is broadcast. A larger one is shuffled; with
     ``spread_by`` it is repeated once per salt and the left rows of one key are dealt
     over the salts, so a key holding a third of all rows is cut in ``salts`` parts.
     ``right`` should be a stored table: the check reads it once more.

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import os
 import struct
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from bytesieve.operators.order import global_rank
+from bytesieve.sources.files import locate
 
 # Fixed values of the capture file format.
 MAGIC_MICRO = 0xA1B2C3D4
@@ -24,7 +25,7 @@ SNAPLEN = 262_144
 
 FRAME_SCHEMA = "path string, packet_no long, ts timestamp, ts_ns long, frame binary"
 # Frames handed to Spark at a time.
-_BATCH = 4_096
+FRAMES_AT_ONCE = 4_096
 
 
 def split_records(content: bytes, damaged: str = "fail") -> Iterator[tuple[int | None, bytes | None]]:
@@ -64,14 +65,14 @@ def _frame_batches(batches: Iterator[pd.DataFrame], damaged: str) -> Iterator[pd
             for number, (ns, frame) in enumerate(split_records(bytes(content), damaged)):
                 time = None if ns is None else pd.Timestamp(ns // 1_000, unit="us", tz="UTC")
                 rows.append((path, number, time, ns, frame))
-                if len(rows) == _BATCH:
-                    yield _as_pandas(rows)
+                if len(rows) == FRAMES_AT_ONCE:
+                    yield frames_as_pandas(rows)
                     rows = []
             if rows:
-                yield _as_pandas(rows)
+                yield frames_as_pandas(rows)
 
 
-def _as_pandas(rows: list[tuple]) -> pd.DataFrame:
+def frames_as_pandas(rows: list[tuple]) -> pd.DataFrame:
     table = pd.DataFrame(rows, columns=["path", "packet_no", "ts", "ts_ns", "frame"])
     return table.astype({"ts_ns": "Int64", "ts": "datetime64[us, UTC]"})
 
@@ -104,8 +105,7 @@ def read_captures(
 
     ``ts`` holds microseconds, as Spark timestamps do; ``ts_ns`` keeps the full time.
 
-    Records have no marks to start in the middle of a file, so one task reads one file;
-    rotate captures well below the 2 GB a row can hold.
+    One task reads one file of less than the 2 GB a row can hold; ``split_captures`` reads larger ones in parts.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
     return split_frames(files, damaged)
@@ -115,25 +115,26 @@ class CaptureWriter(DataSourceWriter):
     """Writes each task's rows to one file, visible only after the job has committed."""
 
     def __init__(self, options: dict, overwrite: bool):
-        self.path = options["path"].removeprefix("file:")
-        if "://" in self.path:
-            raise ValueError("capture files are written to a file system path")
+        self.path = options["path"]
         self.nano = options.get("nano", "false").lower() == "true"
         self.order = ">" if options.get("byteorder", "little") == "big" else "<"
         self.job = uuid.uuid4().hex
-        if os.path.isdir(self.path) and any(n.endswith(".pcap") for n in os.listdir(self.path)):
+        system, folder = locate(self.path)
+        held = system.get_file_info(fs.FileSelector(folder, allow_not_found=True))
+        if any(info.base_name.endswith(".pcap") for info in held):
             raise ValueError(f"{self.path} already holds capture files")
 
     def write(self, iterator) -> WriterCommitMessage:
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        os.makedirs(self.path, exist_ok=True)
+        system, folder = locate(self.path)
+        system.create_dir(folder, recursive=True)
         name = f"_{self.job}-{context.partitionId():05d}-{context.taskAttemptId()}"
         magic, unit = (MAGIC_NANO, 1) if self.nano else (MAGIC_MICRO, 1_000)
         record = struct.Struct(self.order + RECORD_HEADER)
         rows = 0
-        with open(os.path.join(self.path, name), "wb") as out:
+        with system.open_output_stream(f"{folder}/{name}") as out:
             out.write(struct.pack(self.order + FILE_HEADER, magic, 2, 4, 0, 0, SNAPLEN, LINKTYPE_ETHERNET))
             for row in iterator:
                 seconds, rest = divmod(row["ts_ns"], 1_000_000_000)
@@ -144,17 +145,19 @@ class CaptureWriter(DataSourceWriter):
         return CaptureMessage(context.partitionId(), name, rows)
 
     def commit(self, messages) -> None:
+        system, folder = locate(self.path)
         for message in messages:
-            staged = os.path.join(self.path, message.name)
+            staged = f"{folder}/{message.name}"
             if message.rows:
-                os.replace(staged, os.path.join(self.path, f"part-{message.part:05d}.pcap"))
+                system.move(staged, f"{folder}/part-{message.part:05d}.pcap")
             else:
-                os.remove(staged)
+                system.delete_file(staged)
 
     def abort(self, messages) -> None:
+        system, folder = locate(self.path)
         for message in messages:
-            if message is not None and os.path.exists(os.path.join(self.path, message.name)):
-                os.remove(os.path.join(self.path, message.name))
+            if message is not None and system.get_file_info(f"{folder}/{message.name}").type == fs.FileType.File:
+                system.delete_file(f"{folder}/{message.name}")
 
 
 class CaptureMessage(WriterCommitMessage):
@@ -181,8 +184,8 @@ def write_captures(
 ) -> None:
     """Write ``frames(packet_no, ts_ns, frame)`` as capture files, one per task.
 
-    Files follow each other in packet order; ``files`` sets how many there are, about. ``path`` must be a folder that driver and
-    executors share as a file system.
+    Files follow each other in packet order; ``files`` sets how many there are, about. ``path`` is a URI, or a
+    folder that driver and executors share as a file system.
     """
     frames.sparkSession.dataSource.register(CaptureDataSource)
     key = F.col("packet_no")

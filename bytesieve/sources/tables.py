@@ -28,10 +28,14 @@ def save_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) ->
     spark = df.sparkSession
     version = (latest_version(spark, path) or 0) + 1
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{path}/version-{version}")
+    _publish(spark, path, version)
+    return version
+
+
+def _publish(spark: SparkSession, path: str, version: int) -> None:
     spark.range(1).select(F.lit(version).cast("long").alias("version")).coalesce(1).write.mode(
         "append"
     ).parquet(f"{path}/_versions_log")
-    return version
 
 
 def load_table(spark: SparkSession, path: str) -> DataFrame:
@@ -51,14 +55,28 @@ def load_counts(spark: SparkSession, path: str) -> DataFrame:
     return load_table(spark, path).select("tier", "gram", "cnt")
 
 
-def save_filters(bitmaps: DataFrame, meta: DataFrame, path: str) -> None:
-    """Save filter generations and one meta row each, with the bits their bitmaps hold."""
+_BITMAPS = "bucket long, bitmap binary, tier string, generation int"
+
+
+def save_filters(bitmaps: DataFrame, meta: DataFrame, path: str) -> int:
+    """Save filter generations and one meta row each, with the bits their bitmaps hold, as one version.
+
+    Bitmaps are computed once: what they hold is read from the files. Both tables are written before the version is
+    published, so a reader sees either the whole version or the one before.
+    """
+    spark = bitmaps.sparkSession
     keys = ["tier", "generation"]
-    stored = bitmaps.groupBy(*keys).agg(
+    version = (latest_version(spark, path) or 0) + 1
+    folder = f"{path}/version-{version}"
+    bitmaps.write.mode("overwrite").partitionBy(*keys).parquet(f"{folder}/bitmaps")
+    written = spark.read.schema(_BITMAPS).parquet(f"{folder}/bitmaps")
+    stored = written.groupBy(*keys).agg(
         F.count("*").alias("buckets"), F.sum(F.bitmap_count("bitmap")).cast("long").alias("bits_set")
     )
-    save_table(bitmaps, f"{path}/bitmaps", tuple(keys))
-    save_table(meta.join(stored, keys, "left").fillna(0, ["buckets", "bits_set"]), f"{path}/meta")
+    filled = meta.join(stored, keys, "left").fillna(0, ["buckets", "bits_set"])
+    filled.write.mode("overwrite").parquet(f"{folder}/meta")
+    _publish(spark, path, version)
+    return version
 
 
 def load_filters(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -68,14 +86,17 @@ def load_filters(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame,
     files only take out their own generation.
     """
     keys = ["tier", "generation"]
-    version = latest_version(spark, f"{path}/bitmaps")
+    version = latest_version(spark, path)
+    if version is None:
+        raise FileNotFoundError(f"no published filters in {path}")
+    folder = f"{path}/version-{version}"
     bitmaps = (
         spark.read.option("ignoreCorruptFiles", True)
         .option("ignoreMissingFiles", True)
-        .schema("bucket long, bitmap binary, tier string, generation int")
-        .parquet(f"{path}/bitmaps/version-{version}")
+        .schema(_BITMAPS)
+        .parquet(f"{folder}/bitmaps")
     )
-    meta = load_table(spark, f"{path}/meta")
+    meta = spark.read.parquet(f"{folder}/meta")
     found = bitmaps.groupBy(*keys).agg(
         F.count("*").alias("_buckets"), F.sum(F.bitmap_count("bitmap")).cast("long").alias("_bits")
     )

@@ -12,15 +12,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from bytesieve.functions.codec import hex_encode
 from bytesieve.functions.headers import FLOW, parse_frames, tcp_port
-from bytesieve.functions.http import MessageCutter
+from bytesieve.functions.http import ConversationCutter
+from bytesieve.operators.flows import CONVERSATION, MESSAGE, MESSAGE_SCHEMA, PLACE, conversation_rows, message_row
 from bytesieve.sources.capture import split_frames
 
 _FILES = "path string, modificationTime timestamp, length long, content binary"
-MESSAGE_SCHEMA = (
-    "src string, dst string, sport int, dport int, ts_us long, path string, packet_no long, "
-    "kind string, method string, uri string, status int, message_bytes long"
-)
-
 
 def frame_stream(
     spark: SparkSession, folder: str, *, files_per_batch: int | None = None, pattern: str = "*.pcap"
@@ -46,9 +42,9 @@ def flow_messages(packets: DataFrame, *, idle_seconds: int = 3600, keep_seconds:
     none; unfinished messages stay in the stream state, both directions together, so that a reply knows its request.
 
     No row is dropped. Besides requests and responses there are rows of kind ``late`` (a packet of a later batch that
-    belongs before one already fed: its bytes are left out), ``freed`` (the unfinished message of a flow that paused for more than
-    ``idle_seconds`` of packet time and then starts anew, or that had no packet for ``keep_seconds`` of processing
-    time when a later batch came, and left the state) and ``foreign`` (bytes that cannot be HTTP); ``message_bytes`` counts the bytes.
+    belongs before one already fed: its bytes are left out), ``freed`` (the unfinished message of a conversation that paused
+    for more than ``idle_seconds`` of packet time and then starts anew, or that had no packet for ``keep_seconds`` of
+    processing time when a later batch came, and left the state; at its last packet) and ``foreign`` (bytes that cannot be HTTP); ``message_bytes`` counts the bytes.
 
     A task holds the rows that one conversation has in one batch, so bound the batches at the source
     (``maxFilesPerTrigger``). Null payloads are skipped; packets with a null end point are one conversation.
@@ -56,81 +52,30 @@ def flow_messages(packets: DataFrame, *, idle_seconds: int = 3600, keep_seconds:
     # A batch without data would be run for the clock alone, over and over, and ``availableNow`` would never end.
     packets.sparkSession.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     several = "path" in packets.columns
-    order = ["ts_us", "path", "packet_no"] if several else ["packet_no"]
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        sides = _Sides(state.get[0] if state.exists else None)
-        rows: list[tuple] = []
+        kept = json.loads(state.get[0]) if state.exists else None
+        cutter = ConversationCutter(idle_seconds * 1_000_000, several, kept)
+        found: list[tuple] = []
         if state.hasTimedOut:
-            rows = [(*_flow(key, side), *sides.newest[side], *lost) for side in (0, 1) for lost in sides.free(side)]
+            found = cutter.end()
             state.remove()
         else:
-            arrived = pd.concat(list(batches)).sort_values(order)
-            columns = [arrived[name] for name in ("forth", "ts_us", "path", "packet_no", "payload")]
+            arrived = pd.concat(list(batches)).sort_values(PLACE if several else PLACE[2:])
+            columns = [arrived[name] for name in ("forth", *PLACE, "payload")]
             for forth, ts_us, path, number, payload in zip(*columns, strict=True):
-                if payload is None:
-                    continue
-                side, place = int(not forth), (int(ts_us), path, int(number))
-                found = sides.feed(side, place, place if several else place[2:], bytes(payload), idle_seconds * 1_000_000)
-                rows.extend((*_flow(key, side), *place, *entry) for entry in found)
-            state.update((sides.state(),))
+                if payload is not None:
+                    found += cutter.feed(int(not forth), (int(ts_us), path, int(number)), bytes(payload))
+            state.update((json.dumps(cutter.state()),))
             state.setTimeoutDuration(max(1, int(keep_seconds * 1000)))
-        if rows:
-            names = [*FLOW, "ts_us", "path", "packet_no", "kind", "method", "uri", "status", "message_bytes"]
-            yield pd.DataFrame(rows, columns=names).astype({"status": "Int32"})
+        if found:
+            rows = [message_row(key, entry) for entry in found]
+            yield pd.DataFrame(rows, columns=[*FLOW, *PLACE, *MESSAGE]).astype({"status": "Int32"})
 
-    source = F.struct(F.col("src").alias("ip"), F.col("sport").alias("port"))
-    target = F.struct(F.col("dst").alias("ip"), F.col("dport").alias("port"))
-    low, high = F.least(source, target), F.greatest(source, target)
-    keyed = packets.select(
-        low["ip"].alias("ip_a"), low["port"].alias("port_a"), high["ip"].alias("ip_b"), high["port"].alias("port_b"),
-        (source == low).alias("forth"),
-        F.unix_micros("ts").alias("ts_us"),
-        F.col("path") if several else F.lit(None).cast("string").alias("path"),
-        "packet_no", "payload",
-    )
-    return keyed.groupBy("ip_a", "port_a", "ip_b", "port_b").applyInPandasWithState(
+    return conversation_rows(packets).groupBy(*CONVERSATION).applyInPandasWithState(
         update,
         outputStructType=MESSAGE_SCHEMA,
-        stateStructType="sides string",
+        stateStructType="cutter string",
         outputMode="append",
         timeoutConf=GroupStateTimeout.ProcessingTimeTimeout,
     )
-
-
-def _flow(key: tuple, side: int) -> tuple:
-    """src, dst, sport, dport of one direction of a conversation."""
-    ip_a, port_a, ip_b, port_b = key
-    return (ip_a, ip_b, port_a, port_b) if side == 0 else (ip_b, ip_a, port_b, port_a)
-
-
-class _Sides:
-    """The cutters of both directions of a conversation, and the place of the last packet fed to each."""
-
-    def __init__(self, state: str | None):
-        values = json.loads(state) if state else {"cutters": [None, None], "newest": [None, None], "asked": []}
-        self.asked: list[str] = values["asked"]
-        self.cutters = [MessageCutter(cutter, self.asked) for cutter in values["cutters"]]
-        self.newest = [tuple(place) if place else (0, None, 0) for place in values["newest"]]
-        self.begun = [place is not None for place in values["newest"]]
-
-    def state(self) -> str:
-        newest = [place if begun else None for place, begun in zip(self.newest, self.begun, strict=True)]
-        return json.dumps({"cutters": [c.state() for c in self.cutters], "newest": newest, "asked": self.asked})
-
-    def free(self, side: int) -> list[tuple]:
-        """Start a direction anew; what it holds of a message is lost."""
-        lost = self.cutters[side].unfinished()
-        self.cutters[side] = MessageCutter(None, self.asked)
-        if lost and self.cutters[1 - side].unfinished() == 0:
-            self.asked.clear()
-        return [("freed", None, None, None, lost)] if lost else []
-
-    def feed(self, side: int, place: tuple, order: tuple, payload: bytes, idle_us: int) -> list[tuple]:
-        """What a packet completes or loses: (kind, method, uri, status, bytes)."""
-        last = self.newest[side]
-        if self.begun[side] and order < last[len(last) - len(order) :]:
-            return [("late", None, None, None, len(payload))]
-        found = self.free(side) if self.begun[side] and place[0] - last[0] > idle_us else []
-        self.newest[side], self.begun[side] = place, True
-        return found + self.cutters[side].feed(payload)

@@ -81,3 +81,27 @@ def test_possible_rows_keep_all_members(spark, random_grams, count):
     kept = {bytes(r["gram"]) for r in bloom.keep_possible(table, gram_table(spark, members)).collect()}
     assert set(members) <= kept
     assert len(kept) - count <= max(20, 0.12 * (len(random_grams) - count))
+
+
+@pytest.mark.parametrize("max_rows", [8_192, 0])
+def test_blocked_filter_equals_plain_blocks(spark, max_rows):
+    """No member is missed; what else is found is what blocks of 512 bits, set one by one, call present."""
+    rng = random.Random(5)
+    draw = lambda count: list({rng.randbytes(5) for _ in range(count)})
+    members, others = draw(3000), draw(6000)
+    k, bits = 8, 60_000
+    slots = lambda table: {
+        bytes(r["gram"]): r["at"] for r in table.select("gram", bloom.blocked_slots(F.col("gram"), k, bits).alias("at")).collect()
+    }
+    table, asked = gram_table(spark, members), gram_table(spark, members + others)
+    placed = slots(asked)
+    assert all(len({at // 512 for at in ats}) == 1 and max(ats) < 118 * 512 for ats in placed.values())
+    filled = {at for gram in members for at in placed[gram]}
+    expected = {gram: all(at in filled for at in ats) for gram, ats in placed.items()}
+    bitmaps = bloom.build_bloom(table, k, bits, blocked=True).persist()
+    got = {bytes(r["gram"]): r["maybe"] for r in bloom.probe_blocked(asked, bitmaps, k, bits, max_rows=max_rows).collect()}
+    assert got == expected and all(expected[gram] for gram in members)
+    share = bloom.blocked_false_share(bitmaps, k, bits).first()["false_share"]
+    false = sum(expected[gram] for gram in others if gram not in members)
+    assert false == pytest.approx(share * len(others), abs=6 * (share * len(others)) ** 0.5 + 6)
+    bitmaps.unpersist()

@@ -110,6 +110,8 @@ def test_signed_sketch_error_and_merge(spark):
     merged = {(r["seed_no"], r["slot"]): r["cell"] for r in counts.merge_signed(*halves).collect() if r["cell"]}
     assert cells == merged
     estimates = gram_dict(counts.estimate_signed(table, sketch, slots), "estimate")
+    dense = counts.estimate_dense(table, counts.dense_sketch(sketch, slots), slots)
+    assert gram_dict(dense, "estimate") == estimates
     spread = np.sqrt(sum(c * c for _, c in entries) / slots)
     errors = [abs(estimates[g] - c) for g, c in entries]
     assert np.mean([e <= 3 * spread for e in errors]) > 0.98

@@ -110,3 +110,13 @@ def test_counting_texts_needs_no_labels(spark):
 
     df = QUERIES["exact_counts"](spark, "/root/testdata/sf0.001")
     assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_blocked_probe_and_dense_estimates_move_no_gram(spark):
+    grams = spark.createDataFrame([(bytearray(b"abcde"), 2), (bytearray(b"fghij"), 3)], "gram binary, cnt long")
+    bitmaps = spark.createDataFrame(bloom.build_bloom(grams, 8, 100_000, blocked=True).collect(), "bucket long, bitmap binary")
+    text = plan(bloom.probe_blocked(grams, bitmaps, 8, 100_000))
+    assert "BroadcastHashJoin" in text and "hashpartitioning" not in text and "Generate" not in text
+    pages = spark.createDataFrame(counts.dense_sketch(counts.signed_sketch(grams, 9_973), 9_973).collect(), "seed_no int, page int, cells array<long>")
+    text = plan(counts.estimate_dense(grams, pages, 9_973))
+    assert text.count("BroadcastHashJoin") == 5 and "hashpartitioning" not in text and "Generate" not in text

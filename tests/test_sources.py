@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from bytesieve.operators import bloom, counts
 from bytesieve.plans.inputs import frames, packets
 from bytesieve.session import lookup_join, scratch_path, shared_root
-from bytesieve.sources import capture, payloads, tables
+from bytesieve.sources import capture, payloads, split_captures, tables
 
 
 def test_shared_folder_comes_from_the_session(spark):
@@ -127,6 +127,51 @@ def test_capture_round_trip(spark, tmp_path, nano, order):
     assert not [p for p in (tmp_path / "out").iterdir() if not p.name.endswith(".pcap")]
 
 
+def both(rows):
+    return [(r["path"], r["packet_no"], r["ts_ns"], r["frame"]) for r in rows]
+
+
+@pytest.mark.parametrize("split,count", [(100, 4), (700, 40), (5_000, 60)])
+def test_split_files_equal_whole_ones(spark, tmp_path, split, count):
+    """Small and large records, payloads full of bytes that look like records, several orders and units."""
+    import random
+
+    rng = random.Random(split)
+    second = 1_700_000_000
+    for i, (order, nano) in enumerate([("<", False), (">", True), ("<", True)]):
+        records = []
+        for n in range(count):
+            fake = struct.pack(order + "IIII", second + n, 5, 8, 8) + b"realistic"[:8]
+            frame = rng.choice([b"", rng.randbytes(rng.randrange(90)), fake * rng.randrange(1, 30), b"\0" * 400])
+            records.append(((second + n) * 10**9 + 1000 * n, frame))
+        (tmp_path / f"{i}.pcap").write_bytes(pcap(records, order, nano))
+    (tmp_path / "none.pcap").write_bytes(pcap([]))
+    whole = capture.read_captures(spark, str(tmp_path)).orderBy("path", "packet_no").collect()
+    parts = split_captures.read_split_captures(spark, str(tmp_path), split_bytes=split)
+    assert both(parts.orderBy("path", "packet_no").collect()) == both(whole) and whole
+
+
+def test_split_damaged_files(spark, tmp_path):
+    records = [(10**9 * n, bytes([n]) * 50) for n in range(1, 40)]
+    (tmp_path / "cut.pcap").write_bytes(pcap(records, cut=20))
+    (tmp_path / "good.pcap").write_bytes(pcap(records))
+    for split in (500, 1 << 20):
+        with pytest.raises(PySparkException, match="damaged capture file"):
+            split_captures.read_split_captures(spark, str(tmp_path), split_bytes=split).collect()
+        whole = capture.read_captures(spark, str(tmp_path), damaged="mark").orderBy("path", "packet_no").collect()
+        marked = split_captures.read_split_captures(spark, str(tmp_path), split_bytes=split, damaged="mark")
+        assert both(marked.orderBy("path", "packet_no").collect()) == both(whole)
+    (tmp_path / "foreign.pcap").write_bytes(b"not a capture file at all, really")
+    with pytest.raises(PySparkException, match="not a capture file"):
+        split_captures.read_split_captures(spark, str(tmp_path), split_bytes=700, damaged="mark").collect()
+
+
+def test_captures_are_written_through_uris(spark, tmp_path):
+    source = frames(spark, "/root/testdata/sf0.001")
+    capture.write_captures(source, f"file://{tmp_path}/out", files=2)
+    assert capture.read_captures(spark, str(tmp_path / "out")).count() == source.count()
+
+
 def test_failed_capture_write_leaves_no_file(spark, tmp_path):
     folder = str(tmp_path / "out")
     bad = packets(spark, "/root/testdata/sf0.001").select(
@@ -155,12 +200,14 @@ def test_unreadable_filter_generation_is_skipped(spark, tmp_path):
     )
     bits = bloom.bits_for(1000, 4)
     path = str(tmp_path / "filters")
+    with pytest.raises(FileNotFoundError):
+        tables.load_filters(spark, path)
     tables.save_filters(bloom.build_bloom(vocab, 4, bits, by=("tier", "generation")), bloom.bloom_meta(vocab, 1000, 4), path)
     bitmaps, meta, skipped = tables.load_filters(spark, path)
     assert meta.count() == 3 and skipped.count() == 0
-    for file in (tmp_path / "filters").glob("bitmaps/version-1/tier=gold/generation=1/part-*"):
+    for file in (tmp_path / "filters").glob("version-1/bitmaps/tier=gold/generation=1/part-*"):
         file.write_bytes(b"garbage")
-    for crc in (tmp_path / "filters").glob("bitmaps/version-1/tier=gold/generation=1/.part-*.crc"):
+    for crc in (tmp_path / "filters").glob("version-1/bitmaps/tier=gold/generation=1/.part-*.crc"):
         crc.unlink()
     bitmaps, meta, skipped = tables.load_filters(spark, path)
     assert sorted(r["generation"] for r in meta.collect()) == [0, 2]

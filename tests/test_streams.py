@@ -6,6 +6,7 @@ from collections import Counter
 from helpers import gram_dict
 from pyspark.sql import functions as F
 
+from bytesieve.operators.flows import MESSAGE_SCHEMA, all_messages
 from bytesieve.streaming import ingest, packets
 
 
@@ -107,7 +108,7 @@ def run_messages(spark, tmp_path, batches, **options):
             .start(out)
         )
         query.awaitTermination()
-    found = spark.read.schema(packets.MESSAGE_SCHEMA).parquet(out).collect()
+    found = spark.read.schema(MESSAGE_SCHEMA).parquet(out).collect()
     return sorted((r["src"][-1], r["packet_no"], r["kind"], r["uri"] or r["status"] or r["message_bytes"]) for r in found)
 
 
@@ -169,13 +170,47 @@ def test_idle_flow_is_freed_and_no_byte_is_lost(spark, tmp_path):
     ]
     assert run_messages(spark, tmp_path, batches, idle_seconds=600) == [
         # The first flow paused past its limit, so its second half starts anew and is foreign.
+        ("1", 0, "freed", 12),
         ("1", 1, "late", len(GET % 6)),
         ("1", 2, "foreign", len(half) - 12),
-        ("1", 2, "freed", 12),
         ("2", 1, "request", "/5"),
     ]
 
 
+def test_batch_equals_plain_cutting_for_packets_of_any_size(spark):
+    """Conversations in both directions, cut into packets of several sizes, over files numbered from 0."""
+    import random
+
+    rng = random.Random(4)
+    reply = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n" + b"5\r\nhello\r\n" * 9 + b"0\r\n\r\n"
+    for size in (16, 64, 1 << 20):
+        rows, number = [], 0
+        expected = set()
+        for client in range(1, 6):
+            for i in range(6):
+                body = b"x" * rng.randrange(300)
+                post = b"POST /%d HTTP/1.1\r\nContent-Length: %d\r\n\r\n" % (i, len(body)) + body
+                expected |= {(client, "request", f"/{i}", len(post)), (client, "response", i, len(reply))}
+                for data, ends in ((post, 1), (reply, -1)):
+                    for at in range(0, len(data), size):
+                        pair = [(f"10.0.0.{client}", 1000), ("10.9.9.9", 80)][::ends]
+                        flow = (pair[0][0], pair[1][0], pair[0][1], pair[1][1])
+                        rows.append((number % 7, 1000 + number, f"{number // 7:05d}.pcap", *flow, bytearray(data[at : at + size])))
+                        number += 1
+            rows.append((number % 7, 1000 + number, f"{number // 7:05d}.pcap", f"10.0.0.{client}", "10.9.9.9", 1000, 80, bytearray(b"GET /left")))
+            number += 1
+        schema = "packet_no long, ts long, path string, src string, dst string, sport int, dport int, payload binary"
+        rng.shuffle(rows)
+        table = spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_seconds("ts"))
+        found = all_messages(table.repartition(5)).collect()
+        unfinished = [r for r in found if r["kind"] == "unfinished"]
+        assert len(unfinished) == 5 and {r["message_bytes"] for r in unfinished} == {9}
+        whole = [r for r in found if r["kind"] != "unfinished"]
+        requests = {(int(r["src"][-1]), "request", r["uri"], r["message_bytes"]) for r in whole if r["kind"] == "request"}
+        assert requests == {e for e in expected if e[1] == "request"} and len(whole) == 60
+        assert {r["message_bytes"] for r in whole if r["kind"] == "response"} == {len(reply)}
+
+
 def test_state_is_left_after_processing_time(spark, tmp_path):
     batches = [[(0, 1000, 1, GET[:12])], [(1, 1001, 2, GET % 5)]]
     found = run_messages(spark, tmp_path, batches, keep_seconds=0.001)
