@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytesieve.llm.common import Words, byte_parts, slices, text_or_empty, word_hashes
+from bytesieve.llm.common import SLICE_BYTES, Words, byte_parts, slices, text_or_empty, word_hashes
 from bytesieve.session import materialize
 
 # Frequent words whose counts every task knows, at most; others are looked up by a join.
@@ -28,9 +30,9 @@ OWN_CLASSES, SHAPE_CLASSES = 16, 16
 CLASSES = OWN_CLASSES + SHAPE_CLASSES
 # Hashed features of each of the three templates.
 TEMPLATES, BUCKETS = 3, 1 << 12
-# Groups of tasks whose models are averaged first.
+# Groups of shards whose models are averaged first.
 GROUPS = 64
-# Tokens per gradient step, and tokens that one training task sees, about.
+# Tokens per gradient step, and tokens of one training shard, about.
 STEP_TOKENS, TASK_TOKENS = 8192, 3_000_000
 RATE = 0.3
 # The token that ends a text: no word, since it is white space.
@@ -177,33 +179,62 @@ def class_totals(counts: DataFrame, lexicon: Lexicon) -> tuple[np.ndarray, np.nd
     return tokens, words
 
 
+def shard_slices(batches: Iterator[pa.RecordBatch], size: int = SLICE_BYTES) -> Iterator[tuple[int, pa.Array]]:
+    """(shard, texts) of rows (text, shard) sorted by shard, about ``size`` bytes at a time.
+
+    Where a slice ends follows from the shard's own rows alone, however they came in batches: behind the row that fills
+    it, and with the shard.
+    """
+    held: pa.Table | None = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        held = table if held is None else pa.concat_tables([held, table])
+        held = yield from _whole_slices(held, size, False)
+    if held is not None:
+        yield from _whole_slices(held, size, True)
+
+
+def _whole_slices(held: pa.Table, size: int, last: bool):
+    """Yield the slices of ``held`` that are whole, returns the rows left; with ``last`` all are whole."""
+    texts, shards = held["text"].combine_chunks(), held["shard"].to_numpy()
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < len(shards):
+        before = ends[start - 1] if start else 0
+        of_shard = start + int(np.searchsorted(shards[start:], shards[start], side="right"))
+        stop = min(of_shard, int(np.searchsorted(ends, before + size, side="left")) + 1)
+        if stop == len(shards) and not last and ends[-1] - before < size:
+            break
+        yield int(shards[start]), texts.slice(start, stop - start)
+        start = stop
+    return held.slice(start) if start < len(shards) else None
+
+
 def train_classes(training: DataFrame, lexicon: Lexicon) -> np.ndarray:
     """Weights of the class softmax: (templates, buckets, classes).
 
-    Every training text is seen once, by one task; the number of tasks follows the number of tokens.
-    A task's model is sent in blocks of rows with the number of times each feature was seen, and blocks
-    are averaged in two rounds, so that no task gathers those of many tasks.
+    Texts are dealt to shards by their hash; the number of shards follows from the number of tokens. A shard is learned by
+    one task, in the order of the hashes, so weights do not depend on how the rows were placed (but for the order
+    in which sums are rounded). Every training text is seen once.
+    A shard's model is sent in blocks of rows with the number of times each feature was seen, and blocks
+    are averaged in two rounds, so that no task gathers those of many shards.
     """
     session = training.sparkSession
     shared = session.sparkContext.broadcast(lexicon)
-    tasks = max(1, -(-lexicon.tokens // TASK_TOKENS))
+    shards = max(1, -(-lexicon.tokens // TASK_TOKENS))
     rows = TEMPLATES * BUCKETS
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        weights = np.zeros((TEMPLATES, BUCKETS, CLASSES), np.float32)
-        square = np.full_like(weights, 1e-2)
-        seen = np.zeros((TEMPLATES, BUCKETS), np.float32)
-        for part in slices(batches):
-            tokens = Tokens(part.column(0), shared.value)
-            for start in range(0, len(tokens.codes), STEP_TOKENS):
-                step = slice(start, start + STEP_TOKENS)
-                _updates(weights, square, seen, tokens.features[:, step], tokens.classes[step])
-        if seen.any():
-            # The same group when a task runs again, so that no block is counted twice or lost.
-            group = TaskContext.get().partitionId() % GROUPS
-            yield blocks(weights.reshape(rows, CLASSES), seen.reshape(rows), group)
+        for shard, slices_of in groupby(shard_slices(batches), itemgetter(0)):
+            weights = np.zeros((TEMPLATES, BUCKETS, CLASSES), np.float32)
+            square = np.full_like(weights, 1e-2)
+            seen = np.zeros((TEMPLATES, BUCKETS), np.float32)
+            for _, texts in slices_of:
+                tokens = Tokens(texts, shared.value)
+                for start in range(0, len(tokens.codes), STEP_TOKENS):
+                    step = slice(start, start + STEP_TOKENS)
+                    _updates(weights, square, seen, tokens.features[:, step], tokens.classes[step])
+            yield blocks(weights.reshape(rows, CLASSES), seen.reshape(rows), shard % GROUPS)
 
     def blocks(weights: np.ndarray, seen: np.ndarray, group: int) -> pa.RecordBatch:
         starts = range(0, rows, BLOCK_ROWS)
@@ -235,10 +266,9 @@ def train_classes(training: DataFrame, lexicon: Lexicon) -> np.ndarray:
         )
 
     schema = "block long, group long, seen binary, weights binary"
-    texts = training.select(text_or_empty())
-    if texts.rdd.getNumPartitions() > tasks:
-        texts = texts.coalesce(tasks)
-    learned = texts.mapInArrow(learn, schema)
+    hashed = training.select(text_or_empty()).withColumn("hash", F.xxhash64("text"))
+    dealt = hashed.withColumn("shard", F.pmod("hash", F.lit(shards))).repartition(shards, "shard")
+    learned = dealt.sortWithinPartitions("shard", "hash", "text").select("text", "shard").mapInArrow(learn, schema)
     once = learned.groupBy("block", "group").applyInArrow(average, schema)
     weights = np.zeros((rows, CLASSES), np.float32)
     for row in once.groupBy("block").applyInArrow(average, schema).select("block", "weights").collect():

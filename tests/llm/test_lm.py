@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from bytesieve.llm import lm
 from bytesieve.llm.common import word_hashes
@@ -81,3 +82,29 @@ def test_odd_rows_and_empty_training(odd, nothing):
     unknown = lm.score_texts(odd, nothing).collect()
     assert len(unknown) == 11 and all(r["n_known"] == 0 and r["train_tokens"] == 0 and r["base_score"] <= 0 for r in unknown)
     assert lm.score_texts(nothing, odd).collect() == []
+
+
+def test_weights_do_not_depend_on_how_rows_are_placed(spark, small_documents, monkeypatch):
+    monkeypatch.setattr(lm, "TASK_TOKENS", 60_000)
+    texts = small_documents.select("doc_id", "text").persist()
+    lexicon = lm.lexicon_of(lm.count_words(texts))
+    assert lexicon.tokens > 3 * lm.TASK_TOKENS
+    found = [lm.train_classes(texts.repartition(n, F.rand(n)), lexicon) for n in (1, 7)]
+    assert np.abs(found[0]).max() > 1 and np.allclose(found[0], found[1], atol=1e-5)
+    texts.unpersist()
+
+
+def test_slices_follow_the_rows_of_a_shard_alone():
+    rng = np.random.default_rng(3)
+    rows = [("x" * int(rng.integers(0, 30)), shard) for shard in (2, 3, 7) for _ in range(40)]
+    found = []
+    for size in (1, 7, 33, 1000):
+        batches = [
+            pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in rows[i : i + size]], pa.string()), pa.array([r[1] for r in rows[i : i + size]])], ["text", "shard"]
+            )
+            for i in range(0, len(rows), size)
+        ]
+        found.append([(shard, texts.to_pylist()) for shard, texts in lm.shard_slices(iter(batches), 100)])
+    assert all(f == found[0] for f in found) and [t for _, texts in found[0] for t in texts] == [r[0] for r in rows]
+    assert all(sum(map(len, texts[:-1])) < 100 for _, texts in found[0])
