@@ -39,11 +39,12 @@ def _tokenizer(path: str) -> WordTokenizer:
     return _tokenizers[path]
 
 
-def units_of(documents: DataFrame, tokenizer_path: str, capacity: int) -> DataFrame:
-    """(doc_id, start, length, doc_tokens, ids): token ids and the end id of each document, at most ``capacity`` a row.
+def units_of(documents: DataFrame, tokenizer_path: str, capacity: int, with_ids: bool = False) -> DataFrame:
+    """(doc_id, start, length, doc_tokens, crc, ids): token ids and the end id of each document, at most ``capacity`` a row.
 
-    ``ids`` is binary, little-endian, of 16 bits where the vocabulary allows it. Null and blank texts are the end id
-    alone; repeated rows give repeated units, a null doc_id stays null, other columns are ignored.
+    ``ids`` is binary, little-endian, of 16 bits where the vocabulary allows it. A unit of ``capacity`` is a sequence of its
+    own and never cut, so its ids stay behind unless ``with_ids`` asks for them; ``crc`` is that of all of them. Null and
+    blank texts are the end id alone; repeated rows give repeated units, a null doc_id stays null, other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,17 +59,20 @@ def units_of(documents: DataFrame, tokenizer_path: str, capacity: int) -> DataFr
             row = np.repeat(np.arange(len(sizes)), units)
             start = (np.arange(len(row)) - np.repeat(np.cumsum(units) - units, units)) * capacity
             length = np.minimum(capacity, sizes[row] - start)
-            ends = np.concatenate([[0], np.cumsum(length)]) * ids.itemsize
-            # The units of a slice lie one after another, as its ids do.
+            ends = np.cumsum(length)
+            wide = ids.astype("<u4")
+            sums = [zlib.crc32(wide[end - n : end]) for end, n in zip(ends.tolist(), length.tolist(), strict=True)]
+            # The units of a slice lie one after another, as their ids do.
+            kept = np.ones(len(row), bool) if with_ids else length < capacity
+            ids = ids[np.repeat(kept, length)]
+            offsets = np.concatenate([[0], np.cumsum(np.where(kept, length, 0))]) * ids.itemsize
             packed = pa.Array.from_buffers(
-                pa.binary(), len(row), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(ids.tobytes())]
-            )
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0).take(pa.array(row)), pa.array(start), pa.array(length), pa.array(sizes[row]), packed],
-                ["doc_id", "start", "length", "doc_tokens", "ids"],
+                pa.binary(), len(row), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(ids.tobytes())]
             )
+            columns = [part.column(0).take(pa.array(row)), *map(pa.array, (start, length, sizes[row], sums)), packed]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "doc_tokens", "crc", "ids"])
 
-    schema = "doc_id long, start long, length long, doc_tokens long, ids binary"
+    schema = "doc_id long, start long, length long, doc_tokens long, crc long, ids binary"
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty()).mapInArrow(run, schema)
 
 
@@ -202,16 +206,14 @@ def ranked(units: DataFrame, bucket_units: int = BUCKET_UNITS) -> tuple[DataFram
     the capacity has places, reaches the driver.
     """
     buckets = max(1, -(-units.count() // bucket_units))
-    dealt = units.withColumn("crc", F.crc32("ids")).withColumn(
-        "bucket", F.pmod(F.xxhash64("doc_id", "start", "crc"), F.lit(buckets)).cast("int")
-    )
+    dealt = units.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "crc"), F.lit(buckets)).cast("int"))
     counts = materialize(dealt.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("units")), "lengths")
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("length", "bucket", F.coalesce(F.sum("units").over(before), F.lit(0)).alias("base"))
     within = Window.partitionBy("length", "bucket").orderBy("doc_id", "start", "crc", "doc_tokens")
     rank = F.col("base") + F.row_number().over(within) - 1
     sums = counts.groupBy("length").agg(F.sum("units").alias("units")).collect()
-    frame = dealt.join(bases, ["length", "bucket"]).withColumn("rank", rank).drop("bucket", "base", "crc")
+    frame = dealt.join(bases, ["length", "bucket"]).withColumn("rank", rank).drop("bucket", "base")
     return frame, {row["length"]: row["units"] for row in sums}
 
 
@@ -226,7 +228,7 @@ def pack_documents(documents: DataFrame, tokenizer_path: str, capacity: int = 40
     from tokenizers import Tokenizer
 
     kind = id_type(Tokenizer.from_file(tokenizer_path).get_vocab_size())
-    units, histogram = ranked(materialize(units_of(documents, tokenizer_path, capacity), "units"))
+    units, histogram = ranked(materialize(units_of(documents, tokenizer_path, capacity, with_ids), "units"))
     plan = shortest_pack_first(histogram, capacity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,15 +238,18 @@ def pack_documents(documents: DataFrame, tokenizer_path: str, capacity: int = 40
             lengths, ranks = values["length"].to_numpy(), values["rank"].to_numpy()
             unit, skip, size, sequence, offset = places.of(lengths, ranks)
             stored = values["ids"].to_pylist()
-            cuts = [
-                np.frombuffer(stored[u], kind)[a : a + n].astype("<u4")
-                for u, a, n in zip(unit.tolist(), skip.tolist(), size.tolist(), strict=True)
-            ]
+            whole = (size == lengths[unit]).tolist()
+            sums, cuts = values["crc"].to_numpy()[unit].tolist(), []
+            for i, (u, a, n) in enumerate(zip(unit.tolist(), skip.tolist(), size.tolist(), strict=True)):
+                if with_ids or not whole[i]:
+                    cut = np.frombuffer(stored[u], kind)[a : a + n].astype("<u4")
+                    sums[i] = zlib.crc32(cut)
+                    cuts.append(cut)
             arrays = [
                 values["doc_id"].take(pa.array(unit)),
                 pa.array(values["start"].to_numpy()[unit] + skip),
                 pa.array(size),
-                pa.array([zlib.crc32(cut) for cut in cuts], pa.int64()),
+                pa.array(sums, pa.int64()),
                 values["doc_tokens"].take(pa.array(unit)),
                 pa.array(sequence),
                 pa.array(offset),
