@@ -65,3 +65,17 @@ def test_negative_risk_stays_non_negative():
     assert detector.weights[0] > 1
     words = toxicity.word_columns(pa.array(["idiot", "idiot###", "12", "ïdiot"]))
     assert words[0] == words[1] and words[2] == -1 and words[3] not in (words[0], -1)
+
+
+def test_labels_of_absent_documents_use_up_no_sample(spark, small_documents):
+    """Far more labels of other documents than the sample holds change neither model."""
+    known = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", "quality", "toxic")
+    foreign = spark.range(10_000_000, 10_020_000).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS quality", "1 AS toxic")
+    labels = known.selectExpr("doc_id", "CAST(quality AS INT) AS quality", "CAST(toxic AS INT) AS toxic")
+    some = small_documents.limit(50)
+    for module in (quality, toxicity):
+        scores = [
+            {r["doc_id"]: r["score"] for r in module.score(some, module.train(small_documents, given, sample_rows=600)).collect()}
+            for given in (labels, labels.unionByName(foreign))
+        ]
+        assert scores[0] == scores[1] and len(set(scores[0].values())) > 5

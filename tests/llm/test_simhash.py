@@ -86,3 +86,16 @@ def test_odd_rows(odd, nothing):
     assert kept.columns == odd.columns
     assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 0, 1, 2, 5, 8, 9]
     assert simhash.near_duplicates(nothing).count() == 0 and simhash.keep_first(nothing).count() == 0
+
+
+def test_first_of_copies_with_columns_that_have_no_order(spark):
+    """Repeated ids, a map column and a column named like the operator's own."""
+    frame = spark.sql(
+        "SELECT * FROM VALUES (1L, 'a b c d', map('x', 1), 7L), (1L, 'a b c d', map('y', 2), 8L), (2L, 'a b c d', map('x', 1), 9L), "
+        "(CAST(NULL AS LONG), 'a b c d', map('z', 1), 9L) AS t(doc_id, text, extra, _kept_id)"
+    )
+    kept = simhash.keep_first(frame)
+    assert kept.columns == frame.columns
+    rows = kept.collect()
+    assert sorted(str(r["doc_id"]) for r in rows) == ["1", "None"]
+    assert [(r["extra"], r["_kept_id"]) for r in rows if r["doc_id"] == 1][0] in (({"x": 1}, 7), ({"y": 2}, 8))
