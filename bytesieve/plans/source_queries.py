@@ -242,9 +242,11 @@ def flow_messages_batch(spark, sf_dir):
     FROM ends e JOIN streams s ON e.conversation = s.conversation GROUP BY s.stream_id"""
 )
 def stream_files(spark, sf_dir):
-    """One output folder per TCP stream, read back by folder."""
+    """Packets split by TCP stream, streams in order in folders of neighbouring ones, read back."""
     path = scratch_path(spark, "streams")
     tcp = only_protocol(parse_frames(frames(spark, sf_dir)), PROTO_TCP)
+    # Stored once: streams are listed, looked up and dealt out from it.
+    tcp = materialize(tcp.select("packet_no", "proto", *FLOW, "payload"), "tcp")
     flows.write_streams(flows.with_stream_id(tcp).select("stream_id", "packet_no", "payload"), path)
     read = spark.read.schema("packet_no long, payload binary, stream_id long").parquet(path)
     return read.groupBy("stream_id").agg(
@@ -354,8 +356,10 @@ def streamed_messages(spark, sf_dir):
     source, out, state = (scratch_path(spark, name) for name in ("packets", "messages", "messages-state"))
     session = ingest.state_session(spark)
     tcp = only_protocol(parse_frames(frames(spark, sf_dir)), PROTO_TCP)
-    for delivery in _halves(tcp.select("packet_no", "ts", *FLOW, "payload"), "packet_no"):
-        delivery.repartitionByRange(4, "packet_no").write.mode("append").parquet(source)
+    # Stored once: each delivery then looks for the middle and for its ranges without framing and parsing anew.
+    parsed = materialize(tcp.select("packet_no", "ts", *FLOW, "payload"), "tcp")
+    for delivery in _halves(parsed, "packet_no"):
+        delivery.repartitionByRange("packet_no").write.mode("append").parquet(source)
         stream = session.readStream.schema(delivery.schema).parquet(source)
         # Packets in order of their numbers, whose times run to and fro: no pause ends a flow.
         messages = packet_streams.flow_messages(stream, idle_seconds=400 * 86_400)

@@ -267,6 +267,18 @@ def test_long_streams_are_written_by_several_tasks(spark, many_packets, tmp_path
     assert len(back) == sum(r[1] == 6 for r in rows)
 
 
+def test_many_streams_share_folders_and_are_read_one_by_one(spark, tmp_path):
+    """As many folders as ranges of streams need, and one stream still comes from its folder alone."""
+    rows = [(packet, packet % 250) for packet in range(1_000)]
+    path = str(tmp_path / "streams")
+    flows.write_streams(spark.createDataFrame(rows, "packet_no long, stream_id long"), path, streams_per_folder=100)
+    assert sorted(p.name for p in (tmp_path / "streams").glob("streams=*")) == ["streams=0", "streams=1", "streams=2"]
+    for stream in (0, 99, 100, 249):
+        read = flows.read_stream(spark, path, stream, "packet_no long, stream_id long", streams_per_folder=100)
+        assert "streams#" in read._jdf.queryExecution().toString().split("PartitionFilters: [")[1].split("]")[0]
+        assert [r["packet_no"] for r in read.orderBy("packet_no").collect()] == list(range(stream, 1_000, 250))
+
+
 def test_heads_do_not_depend_on_chunk_size(spark):
     long_head = b"GET /" + b"a" * 200 + b" HTTP/1.1\r\nHost: h\r\n\r\nbody"
     payloads = {
