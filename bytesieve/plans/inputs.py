@@ -89,7 +89,8 @@ def framed(packets: DataFrame) -> DataFrame:
         return F.lpad(F.lower(F.hex(value.cast("long"))), digits, "0")
 
     def address(text: Column) -> Column:
-        return F.concat_ws("", F.transform(F.split(text, r"\."), lambda part: word(part, 2)))
+        parts = [word(F.split_part(text, F.lit("."), F.lit(at)), 2) for at in range(1, 5)]
+        return F.coalesce(F.concat(*parts), F.lit(""))
 
     no = F.col("packet_no")
     event = F.col("event_no" if "event_no" in packets.columns else "packet_no")
@@ -118,11 +119,7 @@ def framed(packets: DataFrame) -> DataFrame:
         l4,
         F.lower(F.hex("payload")),
     )
-    padded = F.when(F.length(whole) < 120, F.rpad(whole, 120, "0")).otherwise(whole)
-    return fence(
-        packets,
-        "packet_no",
-        "ts",
-        (F.unix_micros("ts") * 1000).alias("ts_ns"),
-        F.unhex(padded).alias("frame"),
-    )
+    # Built once per frame, not once for its length and once more for its digits.
+    built = fence(packets, "packet_no", "ts", whole.alias("_whole"))
+    padded = F.when(F.length("_whole") < 120, F.rpad("_whole", 120, "0")).otherwise(F.col("_whole"))
+    return fence(built, "packet_no", "ts", (F.unix_micros("ts") * 1000).alias("ts_ns"), F.unhex(padded).alias("frame"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +36,10 @@ def port_stream(frames: DataFrame, port: int = 80) -> DataFrame:
     return kept.select("ts", hex_encode(F.col("data")).alias("frame_hex"))
 
 
+# Groups that the conversations are dealt over. A checkpoint keeps its conversations by group, so this stays as it is.
+CONVERSATION_GROUPS = 1_024
+
+
 def flow_messages(packets: DataFrame, *, idle_seconds: int = 3600, keep_seconds: float = 86_400) -> DataFrame:
     """HTTP messages of each conversation, each with the packet that completed it, and all bytes that became none.
 
@@ -46,36 +52,57 @@ def flow_messages(packets: DataFrame, *, idle_seconds: int = 3600, keep_seconds:
     for more than ``idle_seconds`` of packet time and then starts anew, or that had no packet for ``keep_seconds`` of
     processing time when a later batch came, and left the state; at its last packet) and ``foreign`` (bytes that cannot be HTTP); ``message_bytes`` counts the bytes.
 
-    A task holds the rows that one conversation has in one batch, so bound the batches at the source
-    (``maxFilesPerTrigger``). Null payloads are skipped; packets with a null end point are one conversation.
+    Conversations are dealt over ``CONVERSATION_GROUPS`` groups by the hash of their end points, and the state of a group holds
+    each of its conversations with a clock of its own: a call of the group costs far more than feeding a packet, and most
+    conversations have few packets. A task holds the rows that one group has in one batch, so bound the batches at the
+    source (``maxFilesPerTrigger``). Null payloads are skipped; packets with a null end point are one conversation.
     """
     # A batch without data would be run for the clock alone, over and over, and ``availableNow`` would never end.
     packets.sparkSession.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     several = "path" in packets.columns
 
+    keep_ms = max(1, int(keep_seconds * 1000))
+
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = json.loads(state.get[0]) if state.exists else None
-        cutter = ConversationCutter(idle_seconds * 1_000_000, several, kept)
+        # Each conversation's time to leave and what its cutter holds.
+        kept: dict[str, list] = json.loads(state.get[0]) if state.exists else {}
+        now = state.getCurrentProcessingTimeMs()
         found: list[tuple] = []
-        if state.hasTimedOut:
-            found = cutter.end()
-            state.remove()
+
+        def cutter_of(ends: str) -> ConversationCutter:
+            return ConversationCutter(idle_seconds * 1_000_000, several, kept[ends][1] if ends in kept else None)
+
+        def take(ends: str, entries: list[tuple]) -> None:
+            found.extend(message_row(tuple(json.loads(ends).values()), entry) for entry in entries)
+
+        if not state.hasTimedOut:
+            arrived = pd.concat(list(batches)).sort_values(["ends", *(PLACE if several else PLACE[2:])])
+            columns = [arrived[name].tolist() for name in ("ends", "forth", *PLACE, "payload")]
+            for ends, rows in groupby(zip(*columns, strict=True), key=itemgetter(0)):
+                cutter = cutter_of(ends)
+                for _, forth, ts_us, path, number, payload in rows:
+                    if payload is not None:
+                        take(ends, cutter.feed(int(not forth), (int(ts_us), path, int(number)), bytes(payload)))
+                kept[ends] = [now + keep_ms, cutter.state()]
+        for ends in [ends for ends, (due, _) in kept.items() if due <= now]:
+            take(ends, cutter_of(ends).end())
+            del kept[ends]
+        if kept:
+            state.update((json.dumps(kept),))
+            state.setTimeoutDuration(min(due for due, _ in kept.values()) - now)
         else:
-            arrived = pd.concat(list(batches)).sort_values(PLACE if several else PLACE[2:])
-            columns = [arrived[name] for name in ("forth", *PLACE, "payload")]
-            for forth, ts_us, path, number, payload in zip(*columns, strict=True):
-                if payload is not None:
-                    found += cutter.feed(int(not forth), (int(ts_us), path, int(number)), bytes(payload))
-            state.update((json.dumps(cutter.state()),))
-            state.setTimeoutDuration(max(1, int(keep_seconds * 1000)))
+            state.remove()
         if found:
-            rows = [message_row(key, entry) for entry in found]
-            yield pd.DataFrame(rows, columns=[*FLOW, *PLACE, *MESSAGE]).astype({"status": "Int32"})
+            yield pd.DataFrame(found, columns=[*FLOW, *PLACE, *MESSAGE]).astype({"status": "Int32"})
 
-    return conversation_rows(packets).groupBy(*CONVERSATION).applyInPandasWithState(
+    ends = F.to_json(F.struct(*CONVERSATION), {"ignoreNullFields": "false"})
+    dealt = conversation_rows(packets).select(
+        F.pmod(F.xxhash64(*CONVERSATION), F.lit(CONVERSATION_GROUPS)).alias("dealt"), ends.alias("ends"), "forth", *PLACE, "payload"
+    )
+    return dealt.groupBy("dealt").applyInPandasWithState(
         update,
         outputStructType=MESSAGE_SCHEMA,
-        stateStructType="cutter string",
+        stateStructType="cutters string",
         outputMode="append",
         timeoutConf=GroupStateTimeout.ProcessingTimeTimeout,
     )

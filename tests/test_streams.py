@@ -233,3 +233,16 @@ def test_capture_stream_equals_batch(spark, tmp_path):
     got = sorted(r["frame_hex"] for r in spark.read.schema("ts timestamp, frame_hex string").parquet(out).collect())
     batch = tcp_port(parse_frames(source.withColumn("data", F.col("frame"))))
     assert got == sorted(bytes(r["data"]).hex() for r in batch.collect()) and got
+
+
+def test_conversations_share_state_groups_and_keep_clocks_of_their_own(spark, tmp_path, monkeypatch):
+    """One state row per group, not per conversation; a group's idle conversations leave while another one goes on."""
+    monkeypatch.setattr(packets, "CONVERSATION_GROUPS", 1)
+    batches = [
+        [(0, 1000, 1, GET[:12]), (1, 1000, 2, GET % 2), (2, 1000, 3, GET[:9])],
+        [(3, 1001, 2, GET % 3), (4, 1002, 3, GET[:5])],
+    ]
+    found = run_messages(spark, tmp_path, batches, keep_seconds=0.001)
+    assert found == [("1", 0, "freed", 12), ("2", 1, "request", "/2"), ("2", 3, "request", "/3")]
+    states = spark.read.format("statestore").load(str(tmp_path / "state"))
+    assert states.count() == 1
