@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructType
 
 from bytesieve.functions.codec import hex_decode, windows
 from bytesieve.functions.hashing import sign, slot
 from bytesieve.functions.sizing import collision_share
 from bytesieve.session import lookup_join
 
+# Windows that a task counts at a time.
+PART_WINDOWS = 1 << 22
 # Counters of a dense sketch that are held in one row.
 PAGE_CELLS = 4_096
 
@@ -40,6 +48,74 @@ def count_grams(
     )
 
 
+def _window_numbers(data: np.ndarray, n: int) -> np.ndarray:
+    """The n-byte windows of ``data`` as big-endian numbers."""
+    size = len(data) - n + 1
+    numbers = np.zeros(size, np.uint64)
+    for at in range(n):
+        numbers = (numbers << np.uint64(8)) | data[at : at + size]
+    return numbers
+
+
+def _as_grams(numbers: np.ndarray, n: int) -> pa.Array:
+    spelled = np.ascontiguousarray(numbers.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - n :])
+    ends = np.arange(len(numbers) + 1, dtype=np.int32) * np.int32(n)
+    return pa.Array.from_buffers(pa.binary(), len(numbers), [None, pa.py_buffer(ends), pa.py_buffer(spelled)])
+
+
+def partial_counts(
+    payloads: DataFrame, n: int, *, by: tuple[str, ...] = (), part_windows: int = PART_WINDOWS
+) -> DataFrame:
+    """All windows of ``payload``, counted in parts of ``part_windows`` within each task: ``by``, gram, cnt.
+
+    A gram has one row per part that it occurs in, and its counts add up to the exact one (``merge_counts``). Where each
+    distinct gram of a part will do, or its number of occurrences, a row per window would cost many times more.
+    """
+    if not 1 <= n <= 8:
+        raise ValueError("a window of 1 to 8 bytes is one number")
+    schema = StructType([payloads.schema[name] for name in by]).add("gram", BinaryType()).add("cnt", LongType())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list[np.ndarray]] = defaultdict(list)
+        sizes: dict[tuple, int] = defaultdict(int)
+
+        def counted(key: tuple) -> pa.RecordBatch:
+            grams, cnt = np.unique(np.concatenate(held.pop(key)), return_counts=True)
+            del sizes[key]
+            same = [pa.repeat(pa.scalar(value, kind), len(grams)) for value, kind in zip(key, kinds, strict=True)]
+            return pa.RecordBatch.from_arrays([*same, _as_grams(grams, n), pa.array(cnt, pa.int64())], [*by, "gram", "cnt"])
+
+        for batch in batches:
+            kinds = [batch.schema.field(name).type for name in by]
+            keys = zip(*[batch.column(name).to_pylist() for name in by], strict=True) if by else [()] * batch.num_rows
+            for key, payload in zip(keys, batch.column("payload"), strict=True):
+                data = np.frombuffer(payload.as_buffer() or b"", np.uint8)
+                for at in range(0, len(data) - n + 1, part_windows):
+                    numbers = _window_numbers(data[at : at + part_windows + n - 1], n)
+                    held[key].append(numbers)
+                    sizes[key] += len(numbers)
+                    if sizes[key] >= part_windows:
+                        yield counted(key)
+                if sum(sizes.values()) >= 2 * part_windows:
+                    yield from [counted(key) for key in list(held)]
+        yield from [counted(key) for key in list(held)]
+
+    return payloads.select(*by, "payload").mapInArrow(run, schema)
+
+
+def occurrences(counts: DataFrame) -> DataFrame:
+    """Each counted gram as often as it occurs, spelled as hex text."""
+    others = [name for name in counts.columns if name not in ("gram", "cnt")]
+    every = F.explode(F.sequence(F.lit(1).cast("long"), F.col("cnt")))
+    spelled = counts.select(*others, F.lower(F.hex("gram")).alias("gram"), "cnt")
+    return spelled.select(*others, "gram", every.alias("_at")).drop("_at")
+
+
+def _spelled(grams: DataFrame) -> str:
+    """Expression of the hex text of ``gram``, which may already be that text."""
+    return "lower(hex(gram))" if isinstance(grams.schema["gram"].dataType, BinaryType) else "gram"
+
+
 def capped(counts: DataFrame, ceiling: int) -> DataFrame:
     """Counts held at ``ceiling``, with the number of adds beyond it."""
     over = F.greatest(F.col("cnt") - ceiling, F.lit(0).cast("long"))
@@ -101,7 +177,7 @@ def heavy_hitters(
     ``tracked`` counters are kept per group; counts are exact while no more distinct
     grams than that occur, and otherwise off by at most 3.5 * windows / map size.
     """
-    top = F.expr(f"approx_top_k(lower(hex(gram)), {int(k)}, {int(tracked)})")
+    top = F.expr(f"approx_top_k({_spelled(grams)}, {int(k)}, {int(tracked)})")
     return (
         grams.groupBy(*by)
         .agg(top.alias("_top"))
@@ -112,7 +188,7 @@ def heavy_hitters(
 
 def heavy_sketch(grams: DataFrame, *, tracked: int = 10_000, by: tuple[str, ...] = ()) -> DataFrame:
     """Frequent-gram sketch of ``tracked`` counters per group, to be stored and merged."""
-    return grams.groupBy(*by).agg(F.expr(f"approx_top_k_accumulate(lower(hex(gram)), {int(tracked)})").alias("sketch"))
+    return grams.groupBy(*by).agg(F.expr(f"approx_top_k_accumulate({_spelled(grams)}, {int(tracked)})").alias("sketch"))
 
 
 def merge_heavy(sketches: DataFrame, *, tracked: int = 10_000, by: tuple[str, ...] = ()) -> DataFrame:

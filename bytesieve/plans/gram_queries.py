@@ -5,11 +5,11 @@ All read whole tables and whole texts (no window cap).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytesieve.functions import sizing
-from bytesieve.functions.codec import hex_decode, hex_encode, windows
+from bytesieve.functions.codec import hex_decode, hex_encode, uint, windows
 from bytesieve.functions.hashing import poly_hash, sign, slot
 from bytesieve.operators import bloom, counts, order, search, topk, vocabulary
 from bytesieve.operators.counts import gram_hex
@@ -141,17 +141,21 @@ def hash_slot_bounds(spark, sf_dir):
 def byte_windows(spark, sf_dir):
     """All windows of each payload."""
     wins = windows(texts(spark, sf_dir), N, keep=("doc_id",))
+    # Grams of one length compare like the numbers they spell. A group's least number is kept in place, while least bytes
+    # would have all windows sorted by document first.
+    number = uint(F.col("gram"), 1, N)
     summed = wins.groupBy("doc_id").agg(
         F.count("*").alias("wins"),
         F.sum("i").alias("offset_sum"),
-        F.min("gram").alias("least"),
-        F.max("gram").alias("greatest"),
-    )
-    return summed.select(
-        "doc_id", "wins", "offset_sum",
-        hex_encode(F.col("least")).alias("least_gram"), hex_encode(F.col("greatest")).alias("greatest_gram"),
+        F.min(number).alias("least"),
+        F.max(number).alias("greatest"),
     )
 
+    def spelled(name: str) -> Column:
+        return F.lower(F.lpad(F.hex(name), 2 * N, "0")).alias(f"{name}_gram")
+
+    return summed.select("doc_id", "wins", "offset_sum", spelled("least"), spelled("greatest"))
+
 
 @query(
     f"""WITH {PAYLOADS}, hexed AS (SELECT doc_id, hex(payload) AS h FROM payloads)
@@ -448,8 +452,9 @@ def _heavy_within_bounds(sketch, tiered):
 @query(HEAVY_SQL)
 def heavy_hitter_bounds(spark, sf_dir):
     """Grams clearly among the hundred most frequent are found, and counts are off by no more than stated."""
-    tiered = materialize(_tier_counts(spark, sf_dir), "tier-counts")
-    wins = windows(payloads(spark, sf_dir), N, keep=("tier",))
+    parts = counts.partial_counts(payloads(spark, sf_dir), N, by=("tier",))
+    tiered = materialize(counts.merge_counts(parts, by=("tier",)), "tier-counts")
+    wins = counts.occurrences(parts)
     sketch = materialize(counts.heavy_hitters(wins, 100, tracked=TRACKED, by=("tier",)), "heavy-hitters")
     return _heavy_within_bounds(sketch, tiered)
 
@@ -457,8 +462,9 @@ def heavy_hitter_bounds(spark, sf_dir):
 @query(HEAVY_SQL)
 def merged_heavy_hitters_bounds(spark, sf_dir):
     """The same for sketches that were stored per tier and source and combined per tier."""
-    tiered = materialize(_tier_counts(spark, sf_dir), "tier-counts")
-    wins = windows(payloads(spark, sf_dir), N, keep=("tier", "source"))
+    parts = counts.partial_counts(payloads(spark, sf_dir), N, by=("tier", "source"))
+    tiered = materialize(counts.merge_counts(parts, by=("tier",)), "tier-counts")
+    wins = counts.occurrences(parts)
     stored = materialize(counts.heavy_sketch(wins, tracked=TRACKED, by=("tier", "source")), "heavy-sketches")
     merged = materialize(counts.merge_heavy(stored, tracked=TRACKED, by=("tier",)), "merged-sketches")
     sketch = materialize(counts.heavy_from(merged, 100, by=("tier",)), "heavy-hitters")
@@ -511,14 +517,15 @@ def merged_counts(spark, sf_dir):
 @query()
 def distinct_estimate(spark, sf_dir):
     """Distinct grams of all tiers from merged per-tier sketches."""
-    wins = windows(payloads(spark, sf_dir), N, keep=("tier",))
-    return counts.merge_distinct(counts.distinct_sketch(wins, ("tier",)))
+    # A sketch takes a gram once or often alike, so each distinct one of a part is enough.
+    parts = counts.partial_counts(payloads(spark, sf_dir), N, by=("tier",))
+    return counts.merge_distinct(counts.distinct_sketch(parts, ("tier",)))
 
 
 @query(f"{COUNTS} SELECT count(*) AS grams, true AS near FROM counts")
 def distinct_bounds(spark, sf_dir):
     """The estimate from merged sketches is within 3 % of the exact number."""
-    exact = _counts(spark, sf_dir).agg(F.count("*").alias("grams"))
+    exact = counts.merge_counts(counts.partial_counts(texts(spark, sf_dir), N)).agg(F.count("*").alias("grams"))
     near = F.abs(F.col("distinct_grams") - F.col("grams")) <= F.col("grams") * 0.03
     return exact.crossJoin(distinct_estimate(spark, sf_dir)).select("grams", near.alias("near"))
 

@@ -139,3 +139,26 @@ def test_top_k_tables(spark):
     ties = count_table(spark, [(b"z", 1), (b"y", -4), (b"x", 1), (b"w", 1)])
     assert [bytes(r["gram"]) for r in topk.top_grams(ties, 3).collect()] == [b"y", b"w", b"x"]
     assert set(gram_dict(topk.frequent(count_table(spark, [(b"a", 10), (b"b", 11)])))) == {b"b"}
+
+
+def test_partial_counts_add_up_in_bounded_parts(spark):
+    """Payloads longer than a part, short, empty and null ones; a part holds no more than its windows."""
+    rng = random.Random(8)
+    rows = [(tier, bytearray(rng.choices(b"\x00ab\xff", k=size))) for size in (0, 4, 5, 6, 40, 700) for tier in ("x", "y", None)]
+    df = spark.createDataFrame([*rows, ("x", None)], "tier string, payload binary").repartition(3)
+    exact = {(r["tier"], bytes(r["gram"])): r["cnt"] for r in counts.count_grams(df, 5, by=("tier",)).collect()}
+    parts = counts.partial_counts(df, 5, by=("tier",), part_windows=64)
+    merged = counts.merge_counts(parts, by=("tier",)).collect()
+    assert {(r["tier"], bytes(r["gram"])): r["cnt"] for r in merged} == exact and len(merged) == len(exact)
+    each = {(r["tier"], r["gram"]): r["count"] for r in counts.occurrences(parts).groupBy("tier", "gram").count().collect()}
+    assert {(tier, bytes.fromhex(gram)): cnt for (tier, gram), cnt in each.items()} == exact
+    for n in (1, 8):
+        merged = counts.merge_counts(counts.partial_counts(df, n)).collect()
+        assert {bytes(r["gram"]): r["cnt"] for r in merged} == {bytes(r["gram"]): r["cnt"] for r in counts.count_grams(df, n).collect()}
+
+
+def test_least_and_greatest_windows_are_kept_without_a_sort(spark):
+    from bytesieve.plans.gram_queries import byte_windows
+
+    plan = byte_windows(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan

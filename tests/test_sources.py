@@ -172,6 +172,18 @@ def test_captures_are_written_through_uris(spark, tmp_path):
     assert capture.read_captures(spark, str(tmp_path / "out")).count() == source.count()
 
 
+def test_large_captures_are_rolled_in_packet_order(spark, tmp_path):
+    """A task's file is bounded however many frames the task has, and names still follow the packets."""
+    source = frames(spark, "/root/testdata/sf0.001")
+    capture.write_captures(source, str(tmp_path / "out"), files=1, roll_bytes=2_000)
+    sizes = [p.stat().st_size for p in (tmp_path / "out").iterdir()]
+    assert len(sizes) > 3 and max(sizes) < 2_000 + 2_000
+    back = capture.read_captures(spark, str(tmp_path / "out")).orderBy("path", "packet_no").collect()
+    assert [(r["ts_ns"], r["frame"]) for r in back] == [
+        (r["ts_ns"], r["frame"]) for r in source.orderBy("packet_no").collect()
+    ]
+
+
 def test_failed_capture_write_leaves_no_file(spark, tmp_path):
     folder = str(tmp_path / "out")
     bad = packets(spark, "/root/testdata/sf0.001").select(
