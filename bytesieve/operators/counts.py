@@ -18,6 +18,10 @@ from bytesieve.session import lookup_join
 
 # Windows that a task counts at a time.
 PART_WINDOWS = 1 << 22
+# Windows of a payload that are looked up at a time.
+SLICE_WINDOWS = 1 << 20
+# Bytes of a window that fit in one number.
+NUMBER_BYTES = 8
 # Counters of a dense sketch that are held in one row.
 PAGE_CELLS = 4_096
 
@@ -63,36 +67,70 @@ def _as_grams(numbers: np.ndarray, n: int) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(numbers), [None, pa.py_buffer(ends), pa.py_buffer(spelled)])
 
 
+def _first_seen(numbers: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct ``numbers`` of n bytes, where each stands first, and how often it occurs."""
+    spare = 8 * (NUMBER_BYTES - n)
+    if len(numbers) > 1 << spare:
+        return np.unique(numbers, return_index=True, return_counts=True)
+    # Number and place in one word: sorting words is ten times faster than sorting places by their numbers.
+    words = np.sort((numbers << np.uint64(spare)) | np.arange(len(numbers), dtype=np.uint64))
+    sorted_numbers = words >> np.uint64(spare)
+    begins = np.flatnonzero(np.concatenate([[True], sorted_numbers[1:] != sorted_numbers[:-1]]))
+    first = (words[begins] & np.uint64((1 << spare) - 1)).astype(np.int64)
+    return sorted_numbers[begins], first, np.diff(begins, append=len(words))
+
+
 def partial_counts(
-    payloads: DataFrame, n: int, *, by: tuple[str, ...] = (), part_windows: int = PART_WINDOWS
+    payloads: DataFrame,
+    n: int,
+    *,
+    by: tuple[str, ...] = (),
+    start: str | None = None,
+    max_wins: int | None = None,
+    part_windows: int = PART_WINDOWS,
 ) -> DataFrame:
     """All windows of ``payload``, counted in parts of ``part_windows`` within each task: ``by``, gram, cnt.
 
     A gram has one row per part that it occurs in, and its counts add up to the exact one (``merge_counts``). Where each
     distinct gram of a part will do, or its number of occurrences, a row per window would cost many times more.
+    ``start`` names a column with the number of windows before the payload; ``step``, the number of the gram's first
+    window in the part, is given with it.
     """
-    if not 1 <= n <= 8:
+    if not 1 <= n <= NUMBER_BYTES:
         raise ValueError("a window of 1 to 8 bytes is one number")
     schema = StructType([payloads.schema[name] for name in by]).add("gram", BinaryType()).add("cnt", LongType())
+    schema = schema.add("step", LongType()) if start else schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, list[np.ndarray]] = defaultdict(list)
+        held: dict[tuple, list[tuple[int, np.ndarray]]] = defaultdict(list)
         sizes: dict[tuple, int] = defaultdict(int)
 
         def counted(key: tuple) -> pa.RecordBatch:
-            grams, cnt = np.unique(np.concatenate(held.pop(key)), return_counts=True)
+            # In order of their steps, so that the first place of a gram has its first step.
+            pieces = sorted(held.pop(key), key=lambda piece: piece[0])
+            numbers = np.concatenate([piece for _, piece in pieces])
             del sizes[key]
+            if start:
+                grams, first, cnt = _first_seen(numbers, n)
+                ends = np.cumsum([len(piece) for _, piece in pieces])
+                piece = np.searchsorted(ends, first, side="right")
+                shifts = np.array([before + len(piece) for before, piece in pieces], np.int64) - ends
+                steps = [pa.array(shifts[piece] + first + 1, pa.int64())]
+            else:
+                (grams, cnt), steps = np.unique(numbers, return_counts=True), []
             same = [pa.repeat(pa.scalar(value, kind), len(grams)) for value, kind in zip(key, kinds, strict=True)]
-            return pa.RecordBatch.from_arrays([*same, _as_grams(grams, n), pa.array(cnt, pa.int64())], [*by, "gram", "cnt"])
+            return pa.RecordBatch.from_arrays([*same, _as_grams(grams, n), pa.array(cnt, pa.int64()), *steps], schema.names)
 
         for batch in batches:
             kinds = [batch.schema.field(name).type for name in by]
             keys = zip(*[batch.column(name).to_pylist() for name in by], strict=True) if by else [()] * batch.num_rows
-            for key, payload in zip(keys, batch.column("payload"), strict=True):
+            starts = batch.column(start).to_pylist() if start else [0] * batch.num_rows
+            for key, before, payload in zip(keys, starts, batch.column("payload"), strict=True):
                 data = np.frombuffer(payload.as_buffer() or b"", np.uint8)
+                data = data[: max_wins + n - 1] if max_wins else data
                 for at in range(0, len(data) - n + 1, part_windows):
                     numbers = _window_numbers(data[at : at + part_windows + n - 1], n)
-                    held[key].append(numbers)
+                    held[key].append((before + at, numbers))
                     sizes[key] += len(numbers)
                     if sizes[key] >= part_windows:
                         yield counted(key)
@@ -100,7 +138,59 @@ def partial_counts(
                     yield from [counted(key) for key in list(held)]
         yield from [counted(key) for key in list(held)]
 
-    return payloads.select(*by, "payload").mapInArrow(run, schema)
+    return payloads.select(*by, *([start] if start else []), "payload").mapInArrow(run, schema)
+
+
+def _slots(numbers: np.ndarray, bits: int) -> np.ndarray:
+    return (numbers * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
+
+
+def possible_counts(
+    payloads: DataFrame, vocab: DataFrame, n: int, id_col: str, *, slice_windows: int = SLICE_WINDOWS
+) -> DataFrame:
+    """Windows of each payload by what a one-hash filter of ``vocab`` says: ``id_col``, num_wins, gram, cnt.
+
+    A slice of a payload gives one row with its number of windows and without a gram, and one for each distinct gram that
+    may be in ``vocab``. The filter lets no gram of ``vocab`` out; others that it lets in are left to the caller's join.
+    ``vocab`` must be of checked size (``session.fits``).
+    """
+    if not 1 <= n <= NUMBER_BYTES:
+        raise ValueError("a window of 1 to 8 bytes is one number")
+    members = [bytes(row["gram"]) for row in vocab.where(F.length("gram") == n).select("gram").collect()]
+    bits = max(16, (16 * len(members)).bit_length())
+    table = np.zeros(1 << bits, np.bool_)
+    if members:
+        spelled = np.frombuffer(b"".join(members), np.uint8).reshape(-1, n)
+        table[_slots(np.array([_window_numbers(gram, n)[0] for gram in spelled], np.uint64), bits)] = True
+    shared = payloads.sparkSession.sparkContext.broadcast(table)
+    schema = StructType([payloads.schema[id_col]]).add("num_wins", LongType()).add("gram", BinaryType()).add("cnt", LongType())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        possible = shared.value
+
+        def looked_up(ids: pa.Array, rows: tuple, wins: tuple, grams: tuple, cnt: tuple) -> Iterator[pa.RecordBatch]:
+            without = [pa.array(wins, pa.int64()), pa.nulls(len(rows), pa.binary()), pa.nulls(len(rows), pa.int64())]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), *without], schema.names)
+            of = np.repeat(rows, [len(some) for some in grams])
+            held = [pa.nulls(len(of), pa.int64()), _as_grams(np.concatenate(grams), n), pa.array(np.concatenate(cnt), pa.int64())]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(of)), *held], schema.names)
+
+        for batch in batches:
+            ids, slices, held = batch.column(id_col), [], 0
+            for row, payload in enumerate(batch.column("payload")):
+                data = np.frombuffer(payload.as_buffer() or b"", np.uint8)
+                for at in range(0, len(data) - n + 1, slice_windows):
+                    numbers = _window_numbers(data[at : at + slice_windows + n - 1], n)
+                    grams, cnt = np.unique(numbers[possible[_slots(numbers, bits)]], return_counts=True)
+                    slices.append((row, len(numbers), grams, cnt))
+                    held += len(grams)
+                    if held >= slice_windows:
+                        yield from looked_up(ids, *zip(*slices, strict=True))
+                        slices, held = [], 0
+            if slices:
+                yield from looked_up(ids, *zip(*slices, strict=True))
+
+    return payloads.select(id_col, "payload").mapInArrow(run, schema)
 
 
 def occurrences(counts: DataFrame) -> DataFrame:

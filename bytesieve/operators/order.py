@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from bytesieve.functions.codec import SLICE, num_windows, slices, windows
 from bytesieve.functions.sizing import unseen_rate
+from bytesieve.operators.counts import NUMBER_BYTES, partial_counts
 from bytesieve.session import materialize
 
 # monotonically_increasing_id() keeps the partition number above this many position bits.
@@ -121,6 +122,23 @@ def stepped_windows(
     )
 
 
+def counted_steps(
+    payloads: DataFrame, n: int, order: list[str], *, max_wins: int | None = None
+) -> DataFrame:
+    """Number of windows and first step of each gram, both from one pass: ``gram``, ``cnt``, ``step``.
+
+    Windows of up to 8 bytes are counted in parts within the tasks; none becomes a row by itself.
+    """
+    placed = _with_start(payloads, n, order, max_wins)
+    if n <= NUMBER_BYTES:
+        parts = partial_counts(placed, n, start="_start", max_wins=max_wins)
+    else:
+        parts = windows(placed, n, keep=("_start",), max_wins=max_wins).select(
+            "gram", F.lit(1).cast("long").alias("cnt"), (F.col("_start") + F.col("i") + 1).alias("step")
+        )
+    return parts.groupBy("gram").agg(F.sum("cnt").alias("cnt"), F.min("step").alias("step"))
+
+
 def sighting_steps(
     payloads: DataFrame,
     n: int,

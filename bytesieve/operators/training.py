@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytesieve.operators import vocabulary
-from bytesieve.operators.counts import count_grams, decoded
-from bytesieve.operators.order import stepped_windows
+from bytesieve.operators.counts import decoded
+from bytesieve.operators.order import counted_steps
 from bytesieve.session import materialize
 from bytesieve.sources.payloads import LINE_ORDER, file_names, hex_lines, unused_files
 from bytesieve.sources.runs import State, commit, latest_state, load_parts, write_part
@@ -62,12 +62,14 @@ def train_run(
     known = [tier_grams(spark, root, state, other).select("gram") for other in SKIPPED[tier]]
     if tier == "normal":
         payloads = materialize(vocabulary.accepted_payloads(payloads, known[0], n, "line"), "accepted")
-    counted = vocabulary.without_known(count_grams(payloads, n, max_wins=max_wins), *known)
+    flat = payloads.select(*[F.col(f"line.{name}").alias(name) for name in LINE_ORDER], "payload")
+    # Stored, one row per gram: a join with it must not be pushed below the counting, where each window would ask.
+    stepped = materialize(counted_steps(flat, n, LINE_ORDER, max_wins=max_wins), "counted-steps")
+    counted = vocabulary.without_known(stepped.select("gram", "cnt"), *known)
     added = {f"counts-{tier}": write_part(counted, root, f"counts-{tier}")}
     fresh = spark.read.schema(COUNTS).parquet(f"{root}/{added[f'counts-{tier}']}")
 
-    flat = payloads.select(*[F.col(f"line.{name}").alias(name) for name in LINE_ORDER], "payload")
-    first = vocabulary.first_steps(stepped_windows(flat, n, LINE_ORDER, max_wins=max_wins))
+    first = vocabulary.first_steps(stepped)
     first = first.join(fresh.select("gram"), "gram", "left_semi") if known else first
     published = tier_grams(spark, root, state, tier).select("gram")
     filled = state.totals.get(f"grams-{tier}", 0)

@@ -6,10 +6,11 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from bytesieve.functions.codec import num_windows, windows
 from bytesieve.operators.bloom import keep_possible
-from bytesieve.operators.counts import count_grams
+from bytesieve.operators.counts import NUMBER_BYTES, count_grams, possible_counts
 from bytesieve.operators.order import global_rank
 from bytesieve.session import (
     BROADCAST_ROWS,
@@ -55,13 +56,20 @@ def screen(
     """Deny rule per payload: ``num_wins``, ``hits`` in the bad vocabulary, ``denied``.
 
     All windows count, repeats included. ``bad`` must be a stored table of distinct grams.
-    A bad vocabulary of checked size is broadcast and no window leaves its task. For a larger
+    A bad vocabulary of checked size is broadcast and no window leaves its task; windows of up to
+    8 bytes become rows only if a filter of that vocabulary lets them in. For a larger
     one a filter drops the windows that cannot hit; the rest is counted per payload and joined
     over salts, so that a gram common to most payloads is no hot key.
     """
     grams = windows(payloads, n, keep=(id_col,)).select(id_col, "gram")
     vocab = bad.select("gram")
-    if fits(vocab, max_rows):
+    if n <= NUMBER_BYTES and isinstance(payloads.schema["payload"].dataType, BinaryType) and fits(vocab, max_rows):
+        marked = broadcast_bytes_join(
+            possible_counts(payloads, vocab, n, id_col), vocab.withColumn("_bad", F.lit(True)), "gram", "left"
+        )
+        hits = F.coalesce(F.sum(F.when(F.col("_bad"), F.col("cnt"))), F.lit(0).cast("long"))
+        verdicts = marked.groupBy(id_col).agg(F.sum("num_wins").alias("num_wins"), hits.alias("hits"))
+    elif fits(vocab, max_rows):
         marked = broadcast_bytes_join(grams, vocab.withColumn("_bad", F.lit(True)), "gram", "left")
         verdicts = marked.groupBy(id_col).agg(
             F.count("*").alias("num_wins"), F.count("_bad").alias("hits")

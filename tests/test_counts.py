@@ -162,3 +162,48 @@ def test_least_and_greatest_windows_are_kept_without_a_sort(spark):
 
     plan = byte_windows(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan and "HashAggregate" in plan
+
+
+@pytest.mark.parametrize("n", [1, 5, 6, 8])
+@pytest.mark.parametrize("max_wins", [None, 50])
+def test_partial_counts_with_first_steps(spark, n, max_wins):
+    """The first step of each gram comes with its counts, whatever the order and the parts in which payloads are read."""
+    rng = random.Random(n)
+    rows, start, expected, cnt = [], 0, {}, Counter()
+    for size in [0, 4, 700, 5, 90, 8, 300, 60, 200]:
+        payload = bytes(rng.choices(b"\x00ab\xff", k=size))
+        rows.append((start, bytearray(payload)))
+        for i in range(min(max(size - n + 1, 0), max_wins or size)):
+            start += 1
+            expected.setdefault(payload[i : i + n], start)
+            cnt[payload[i : i + n]] += 1
+    df = spark.createDataFrame([*rows[::-1], (start, None)], "before long, payload binary").coalesce(2)
+    parts = counts.partial_counts(df, n, start="before", max_wins=max_wins, part_windows=64).collect()
+    assert len(parts) > len(expected) or n == 8
+    got, added = {}, Counter()
+    for row in parts:
+        gram = bytes(row["gram"])
+        got[gram] = min(row["step"], got.get(gram, row["step"]))
+        added[gram] += row["cnt"]
+    assert got == expected and added == cnt
+    whole = counts.partial_counts(df.coalesce(1), n, start="before", max_wins=max_wins).collect()
+    assert {bytes(row["gram"]): (row["cnt"], row["step"]) for row in whole} == {gram: (cnt[gram], expected[gram]) for gram in cnt}
+    assert len(whole) == len(cnt)
+
+
+def test_possible_counts_lose_no_member(spark):
+    rng = random.Random(5)
+    payloads = [bytes(rng.choices(b"\x00ab\xff", k=size)) for size in (0, 4, 5, 700, 60)]
+    df = spark.createDataFrame([(i, bytearray(p)) for i, p in enumerate(payloads)] + [(9, None)], "doc_id long, payload binary")
+    members = {p[at : at + 5] for p in payloads for at in range(0, max(len(p) - 4, 0), 7)}
+    vocab = count_table(spark, [(gram, 1) for gram in members] + [(b"ab", 1)])
+    rows = counts.possible_counts(df, vocab, 5, "doc_id", slice_windows=64).collect()
+    wins, hits = Counter(), Counter()
+    for row in rows:
+        if row["gram"] is None:
+            wins[row["doc_id"]] += row["num_wins"]
+        elif bytes(row["gram"]) in members:
+            hits[row["doc_id"]] += row["cnt"]
+    assert wins == {i: len(p) - 4 for i, p in enumerate(payloads) if len(p) > 4}
+    assert hits == Counter(i for i, p in enumerate(payloads) for at in range(len(p) - 4) if p[at : at + 5] in members)
+    assert sum(row["gram"] is not None for row in counts.possible_counts(df, vocab.where("false"), 5, "doc_id").collect()) == 0

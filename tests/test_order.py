@@ -34,6 +34,22 @@ def test_steps_follow_reading_order(payload_table):
     assert [r["step"] for r in got.orderBy("step").collect()] == list(range(1, len(expected) + 1))
 
 
+@pytest.mark.parametrize("n", [3, 9])
+@pytest.mark.parametrize("max_wins", [None, 6])
+def test_counts_and_first_steps_in_one_pass(payload_table, n, max_wins):
+    rng = random.Random(n)
+    payloads = [bytes(rng.choices(b"ab", k=rng.randrange(30))) for _ in range(50)]
+    rows = order.counted_steps(payload_table(payloads).repartition(5), n, ["doc_id"], max_wins=max_wins).collect()
+    expected, step = {}, 0
+    for p in payloads:
+        for i in range(min(max(len(p) - n + 1, 0), max_wins or len(p))):
+            step += 1
+            gram = p[i : i + n]
+            first, cnt = expected.get(gram, (step, 0))
+            expected[gram] = (first, cnt + 1)
+    assert {bytes(r["gram"]): (r["step"], r["cnt"]) for r in rows} == expected and len(rows) == len(expected)
+
+
 def test_training_curve_against_loop(payload_table):
     rng = random.Random(8)
     payloads = [bytes(rng.choices(b"abcdef", k=40)) for _ in range(30)]

@@ -40,6 +40,11 @@ def test_screen_moves_no_window_with_a_small_vocabulary(spark, docs):
     assert "BroadcastHashJoin" in text and "hashpartitioning(gram" not in text
 
 
+def test_screen_makes_no_row_per_window(spark, docs):
+    bad = spark.createDataFrame([(bytearray(b"abcde"),)], "gram binary")
+    assert "Generate" not in plan(vocabulary.screen(docs, bad, 5))
+
+
 def test_screen_counts_per_payload_before_a_shuffled_join(spark, docs):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:

@@ -57,6 +57,22 @@ def test_runs_equal_one_run_and_plain_counting(spark, folders, tmp_path):
     assert state.totals["grams-gold"] == len(first) and state.totals["windows-gold"] == sum(gold.values())
 
 
+def test_windows_are_gone_before_parts_are_joined(spark, folders, tmp_path, monkeypatch):
+    """Joins with other tiers ask once per gram: what is written has no window in its plan."""
+    base, _ = folders
+    plans = []
+
+    def write_planned(df, root, table):
+        plans.append((table, df._jdf.queryExecution().optimizedPlan().toString()))
+        return runs.write_part(df, root, table)
+
+    monkeypatch.setattr(training, "write_part", write_planned)
+    for tier in ("gold", "bad", "normal"):
+        training.train_run(spark, str(tmp_path / "state"), tier, str(base / tier), files=9, n=4, capacity=CAPACITY)
+    assert [table for table, _ in plans[3:]] == ["counts-bad", "grams-bad", "used", "counts-normal", "grams-normal", "used"]
+    assert not [table for table, text in plans if "Generate" in text or "MapInArrow" in text]
+
+
 def test_a_run_that_ends_early_changes_nothing(spark, folders, tmp_path, monkeypatch):
     base, _ = folders
     root = str(tmp_path / "state")

@@ -49,6 +49,22 @@ def test_deny_rule(spark, payload_table, max_rows):
         assert got[i]["denied"] == denied
 
 
+@pytest.mark.parametrize("n", [5, 9])
+def test_screen_of_repeated_ids_and_odd_payloads(spark, n):
+    """Rows of one id count together; null and short payloads give no verdict; a gram of another length hits nothing."""
+    rng = random.Random(n)
+    rows = [(i % 9 or None, bytes(rng.choices(b"abc", k=rng.randrange(60)))) for i in range(40)]
+    bad = {p[at : at + n] for _, p in rows for at in range(0, max(len(p) - n + 1, 0), 11)}
+    df = spark.createDataFrame([(i, bytearray(p)) for i, p in rows] + [(77, None), (78, b"ab")], "doc_id long, payload binary")
+    got = {r["doc_id"]: r for r in vocabulary.screen(df.repartition(4), vocab(spark, [*bad, b"ab"]), n).collect()}
+    wins, hits = Counter(), Counter()
+    for i, p in rows:
+        wins[i] += max(len(p) - n + 1, 0)
+        hits[i] += sum(g in bad for g in grams_of(p, n))
+    assert {i: (r["num_wins"], r["hits"]) for i, r in got.items()} == {i: (w, hits[i]) for i, w in wins.items() if w}
+    assert all(r["denied"] == (r["hits"] > r["num_wins"] // 20) for r in got.values())
+
+
 def train_by_hand(payloads, n, cap=None):
     gold = Counter(g for t, p in payloads if t == "gold" for g in grams_of(p, n, cap))
     bad = Counter(g for t, p in payloads if t == "bad" for g in grams_of(p, n, cap) if g not in gold)
